@@ -110,7 +110,7 @@ def _row(prefix: str, k: int, items: list[tuple], is_open: bool) -> tuple:
     return f"{prefix}-{k}", is_open, sum(i[3] for i in items), [dict(zip(("doc_id", "piece", "token_from", "tokens"), i)) for i in items]
 
 
-def pack(docs: DataFrame, doc_id: str, text: str, tokenizer: str = TOKENIZER, capacity: int = CONTAINER, windows: int = 128, merge: int = 16) -> DataFrame:
+def pack(docs: DataFrame, doc_id: str, text: str, tokenizer: str = TOKENIZER, capacity: int = CONTAINER, windows: int = 512, merge: int = 16) -> DataFrame:
     """One row per container: (container, used, space, n_items, items), items being (doc_id, piece, token_from, tokens).
 
     A document is one item, undivided. One longer than ``capacity`` tokens is cut at multiples of it; its last, shorter
@@ -118,9 +118,9 @@ def pack(docs: DataFrame, doc_id: str, text: str, tokenizer: str = TOKENIZER, ca
     token. Repeated rows are packed each. An empty table gives no container.
 
     Sizes are counted and items packed in one narrow pass over the scan: per partition ``windows`` containers are open
-    at a time, and each Arrow batch is placed from its largest item down. What is open at a partition's end is merged:
-    the items of every ``merge`` partitions' open containers are packed again by one task, in rounds, until one task
-    holds the last ones. A round's input is at most ``windows`` containers per partition, so no task's grows with the
+    at a time, and items are placed as they come (sorted ones would close the large ones' containers before the small
+    ones that fill them arrive). What is open at a partition's end is merged: the items of every ``merge`` partitions' open containers are packed again by one task, from the largest down, in rounds, until one
+    task holds the last ones. A round's input is at most ``windows`` containers per partition, so no task's grows with the
     data. Texts never leave their partition.
     """
     count = token_counter(tokenizer)
@@ -141,7 +141,7 @@ def pack(docs: DataFrame, doc_id: str, text: str, tokenizer: str = TOKENIZER, ca
                         full += 1
                     else:
                         items.append(item)
-            for item in sorted(items, key=lambda i: (-i[3], i[0], i[1])):
+            for item in items:
                 done = held.place(item)
                 if done:
                     rows.append(_row(prefix, *done, False))
