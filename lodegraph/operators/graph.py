@@ -133,25 +133,23 @@ def neighbourhood(nodes: DataFrame, edges: DataFrame, starts: DataFrame | None =
     """Aggregated one-hop neighbourhood: per start node, relation, neighbour label and direction the number of distinct
     neighbours and the first few names and ids in order. With ``as_of``, only edges valid then (null bounds are open).
 
-    Edges meet the starts before anything is grouped, and groups are aggregated in part on the map side, so a hub costs
-    a partial aggregate per task, not its list of edges. Samples are kept as minima of bounded arrays.
+    Edges meet the starts before anything is grouped. A hub's neighbours are never in one task: counts are aggregated in
+    part on the map side, and every task hands on only its first few names and ids. Labels and relations are not null.
     """
     e = edges if as_of is None else edges.filter(valid_at(F.col("valid_from"), F.col("valid_to"), as_of))
     seen = both_ways(e.select("src_id", "dst_id", "rel"))
     if starts is not None:
         seen = seen.join(starts.select("node_id").distinct(), "node_id", "left_semi")
     others = nodes.select(F.col("node_id").alias("other_id"), F.col("label").alias("mlabel"), F.col("name").alias("mname"))
-    distinct = seen.join(others, "other_id").select("node_id", "rel", "mlabel", "outgoing", "other_id", F.coalesce("mname", "other_id").alias("mname")).distinct()
     group = ["node_id", "rel", "mlabel", "outgoing"]
-    w = Window.partitionBy(*group)
-    first_ids = F.row_number().over(w.orderBy("other_id"))
-    first_names = F.dense_rank().over(w.orderBy("mname"))
-    ranked = distinct.withColumn("i", first_ids).withColumn("j", first_names)
-    return ranked.groupBy(*group).agg(
-        F.count("*").alias("n"),
-        F.array_sort(F.collect_set(F.when(F.col("j") <= samples, F.col("mname")))).alias("samples"),
-        F.array_sort(F.collect_set(F.when(F.col("i") <= samples, F.col("other_id")))).alias("sample_ids"),
-    )
+    distinct = seen.join(others, "other_id").select(*group, "other_id", F.coalesce("mname", "other_id").alias("mname")).distinct()
+    counts = distinct.groupBy(*group).agg(F.count("*").alias("n"))
+    # names and ids in long form share one ranking; every task cuts it to the first few before the shuffle
+    kinds = F.explode(F.array(F.struct(F.lit("name").alias("kind"), F.col("mname").alias("v")), F.struct(F.lit("id").alias("kind"), F.col("other_id").alias("v")))).alias("x")
+    w = Window.partitionBy(*group, "kind").orderBy("v")
+    firsts = distinct.select(*group, kinds).select(*group, "x.*").distinct().withColumn("r", F.row_number().over(w)).filter(F.col("r") <= samples)
+    of = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("v"))))
+    return counts.join(firsts.groupBy(*group).agg(of("name").alias("samples"), of("id").alias("sample_ids")), group)
 
 
 def second_hop(nodes: DataFrame, edges: DataFrame, starts: DataFrame, through: list[str], most_members: int = 3, most_nodes: int = 4, samples: int = 5) -> DataFrame:
@@ -161,7 +159,7 @@ def second_hop(nodes: DataFrame, edges: DataFrame, starts: DataFrame, through: l
     reached = first.select(F.col("node_id").alias("start_id"), F.explode("sample_ids").alias("node_id")).distinct()
     fresh = reached.join(starts.select("node_id").distinct(), "node_id", "left_anti")
     w = Window.partitionBy("start_id").orderBy("node_id")
-    picked = fresh.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= most_nodes).drop("r")
+    picked = cut(fresh.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= most_nodes).drop("r"))
     return picked.join(neighbourhood(nodes, edges, picked.select("node_id"), samples), "node_id").select("start_id", "node_id", "rel", "mlabel", "outgoing", "n")
 
 
@@ -240,8 +238,29 @@ def stratified_sample(df: DataFrame, stratum: str, key: str, total: int, least:
     the same ones."""
     sizes = df.groupBy(stratum).agg(F.count("*").alias("__n"))
     n_all = sizes.agg(F.sum("__n").alias("__all"))
-    quota = sizes.crossJoin(F.broadcast(n_all)).withColumn("__quota", F.greatest(F.lit(least), F.bround(F.lit(float(total)) * F.col("__n") / F.col("__all")).cast("int")))
-    rank = F.md5(F.concat(F.col(key).cast("string"), F.lit(seed)))
-    w = Window.partitionBy(stratum).orderBy("__h", key)
-    picked = df.withColumn("__h", rank).withColumn("__r", F.row_number().over(w)).join(F.broadcast(quota.select(stratum, "__quota")), stratum).filter("__r <= __quota")
+    share = F.bround(F.lit(float(total)) * F.col("__n") / F.col("__all")).cast("int")
+    quota = sizes.join(F.broadcast(n_all), F.lit(True)).select(stratum, F.greatest(F.lit(least), share).alias("__quota"))
+    hashed = df.withColumn("__h", F.md5(F.concat(F.col(key).cast("string"), F.lit(seed)))).join(quota, stratum)
+    # first within salted parts of a stratum, then among what is left of them: no task ranks a whole large stratum
+    part = Window.partitionBy(stratum, F.substring("__h", 1, 2)).orderBy("__h", key)
+    few = hashed.withColumn("__r", F.row_number().over(part)).filter("__r <= __quota")
+    whole = Window.partitionBy(stratum).orderBy("__h", key)
+    picked = few.withColumn("__r", F.row_number().over(whole)).filter("__r <= __quota")
     return picked.orderBy("__h", key).limit(total).drop("__h", "__r", "__quota")
+
+
+def trailing_sum(df: DataFrame, row_id: str, key: str, ts: str, value: str, seconds: int, bucket: int = 600) -> DataFrame:
+    """(row_id, total, n): per row the sum and number of the key's rows in the ``seconds`` up to it, ties included.
+
+    Time is cut into buckets and rows are repeated in the next bucket while they still count there, so a task orders one
+    key's bucket, not all of a key's rows. Null keys, times and values: rows without a key or time have no row; null
+    values count as nothing in the sum.
+    """
+    if bucket < seconds:
+        raise ValueError("a bucket must be at least as long as the span")
+    at = F.col(ts).cast("timestamp").cast("decimal(20,6)").cast("double")
+    rows = df.filter(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(F.col(row_id).alias("row_id"), F.col(key).alias("key"), at.alias("at"), F.col(value).alias("value"))
+    own = F.floor(F.col("at") / bucket)
+    both = rows.withColumn("own", own).withColumn("b", F.explode(F.array_distinct(F.array(own, F.floor((F.col("at") + seconds) / bucket)))))
+    w = Window.partitionBy("key", "b").orderBy("at").rangeBetween(-seconds, 0)
+    return both.withColumn("total", F.sum("value").over(w)).withColumn("n", F.count("*").over(w)).filter("b = own").select("row_id", "total", "n")

@@ -141,10 +141,9 @@ def usage_totals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rate_window(spark: SparkSession, d: str) -> DataFrame:
-    """Per user the sum of the last sixty seconds at every event. A user's events are ordered in one task; the bound is
-    one user's traffic."""
-    w = Window.partitionBy("user_id").orderBy(F.col("ts").cast("timestamp").cast("double")).rangeBetween(-60, 0)
-    return table(spark, d, "events").select("event_id", F.round(F.sum("value").over(w), 3).alias("spent"), F.count("*").over(w).alias("n"))
+    """Per user the sum of the last sixty seconds at every event."""
+    r = G.trailing_sum(table(spark, d, "events"), "event_id", "user_id", "ts", "value", 60)
+    return r.select(F.col("row_id").alias("event_id"), F.round("total", 3).alias("spent"), "n")
 
 
 def validate_items(spark: SparkSession, d: str) -> DataFrame:
@@ -197,10 +196,11 @@ def hit_at_k(spark: SparkSession, d: str) -> DataFrame:
 
 
 def path_validity(spark: SparkSession, d: str) -> DataFrame:
-    """How far the chains of an ingredient, in row order, follow source then ruling of its first row."""
+    """How far an ingredient's first eight chains (a top-k), in row order, follow source then ruling of its first row."""
     from lodegraph.operators.rulings import clean_rulings
 
     r = clean_rulings(table(spark, d, "ingredient_rulings")).filter("ingredient IS NOT NULL AND source IS NOT NULL")
+    r = G.cap_facts(r, "ingredient", 8, "row_id")
     chain = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("row_id", "source", "ruling"))), lambda x: F.array(x["source"], x["ruling"])))
     g = r.groupBy("ingredient").agg(chain.alias("chain"), F.min_by("source", "row_id").alias("s"), F.min_by("ruling", "row_id").alias("v"))
     return g.select("ingredient", F.round(M.path_validity(F.filter("chain", lambda x: x.isNotNull()), F.array("s", "v")), 4).alias("validity"))
@@ -291,6 +291,9 @@ ORACLES = {
  SELECT e.row_id, CASE WHEN len(g) > 0 THEN round(coalesce(n, 0)::DOUBLE / len(g), 4) END AS hit FROM e LEFT JOIN f USING (row_id)""",
     "wrong_era": f"""WITH s AS (SELECT row_id, {_N.format('stale_answer')} AS p, {_N.format('answer')} AS g, {_CL.format('as_of')} AS y, stale_answer FROM thai_eval WHERE answer IS NOT NULL)
  SELECT row_id, CASE WHEN y IS NOT NULL AND stale_answer IS NOT NULL THEN CASE WHEN p <> '' AND NOT (g <> '' AND (contains(p, g) OR contains(g, p))) THEN 1.0 ELSE 0.0 END END::DOUBLE AS wrong FROM s""",
+    "seed_topk": """WITH q AS (SELECT row_id, lower(question) AS q FROM thai_eval WHERE question IS NOT NULL), w AS (SELECT DISTINCT row_id, q, unnest(regexp_split_to_array(q, '\\s+')) AS w FROM q),
+ n AS (SELECT lower(name_th) AS name FROM provinces UNION SELECT lower(string_split(product_name, ' ')[2]) FROM product_processed), h AS (SELECT DISTINCT row_id, name, round(2.0::DOUBLE * length(name) / (length(name) + length(q)), 4) AS score FROM w JOIN n ON w = name WHERE length(name) >= 4),
+ b AS (SELECT *, max(score) OVER (PARTITION BY row_id) AS best FROM h), r AS (SELECT row_id, name, score, row_number() OVER (PARTITION BY row_id ORDER BY score DESC, name) AS rank FROM b WHERE score >= 0.75 * best) SELECT * FROM r WHERE rank <= 3""",
     "question_retriever_grid": "SELECT DISTINCT id, r AS retriever FROM thai_eval, (SELECT unnest(['vector', 'graph', 'temporal']) AS r) WHERE NOT (r = 'vector' AND id IN (SELECT eval_id FROM eval_passages WHERE eval_id IS NOT NULL))",
     "term_durations": "SELECT event_id, ((event_id % 3) * 60 + event_id % 60)::DOUBLE AS seconds FROM events",
     "unique_names": "SELECT min(row_id) AS row_id, name FROM places WHERE name IS NOT NULL GROUP BY name HAVING count(*) = 1 AND length(name) >= 8",
