@@ -167,9 +167,10 @@ def map_to_canonical(values: DataFrame, value: str, reference: CanonicalList) ->
             yield pd.DataFrame({"value": b["value"], "canon_id": [shared.value.find(v) for v in b["value"]]})
 
     distinct = values.select(F.col(value).alias("value")).filter(F.col("value").isNotNull()).distinct()
-    # a look-up costs far more than its few bytes tell: spread by number, or adaptive planning would merge the tasks
+    # a look-up costs far more than its few bytes tell: spread by number and by a hash of its own, or planning would merge
+    # this exchange with that of distinct() and the tasks with each other
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return distinct.repartition(tasks, "value").mapInPandas(look_up, "value string, canon_id long")
+    return distinct.repartition(tasks, F.xxhash64("value")).mapInPandas(look_up, "value string, canon_id long")
 
 
 def map_column(df: DataFrame, row_id: str, column: str, canonical: DataFrame, id_column: str, form_column: str, name_columns: list[str], affixes: tuple[str, ...] = (), max_entries: int = 100_000) -> DataFrame:
