@@ -29,6 +29,7 @@ _FAMILIAR = 0.002
 #: A word is unfamiliar at a cut if fewer than this share of documents has it.
 CUTS = (0.5, 0.4, 0.3, 0.2, 0.15, 0.1, 0.07, 0.05, 0.03, 0.02, 0.01, 0.005)
 _N = len(CUTS) + 7
+RIDGES = (0.1, 0.3, 1.0, 3.0, 10.0, 30.0, 100.0, 300.0)
 
 _WORD = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
 _SENTENCE = re.compile(r"[.!?\n\r。！？]+")
@@ -158,11 +159,24 @@ class Formula:
     weights: np.ndarray
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> Formula:
+    def fit(cls, x: np.ndarray, y: np.ndarray) -> Formula:
+        """Ridge regression on the centred features and their squares; the ridge is the one of RIDGES with the least
+        generalised cross-validation error, so that few labels give a stiffer formula than many."""
         centre, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
         z = (x - centre) / scale
-        a = np.c_[np.ones(len(z)), z, z**2]
-        return cls(centre, scale, np.linalg.solve(a.T @ a + ridge * np.eye(a.shape[1]), a.T @ y))
+        a = np.c_[z, z**2]
+        shift = a.mean(axis=0)
+        u, s, vt = np.linalg.svd(a - shift, full_matrices=False)
+        uy, n = u.T @ (y - y.mean()), len(y)
+        best = None
+        for ridge in RIDGES:
+            keep = s**2 / (s**2 + ridge)
+            rss = float(((y - y.mean() - u @ (keep * uy)) ** 2).sum())
+            error = rss / max(n - 1 - keep.sum(), 1e-9) ** 2
+            if best is None or error < best[0]:
+                best = error, vt.T @ (s / (s**2 + ridge) * uy)
+        w = best[1]
+        return cls(centre, scale, np.r_[y.mean() - shift @ w, w])
 
     @classmethod
     def unfitted(cls) -> Formula:
