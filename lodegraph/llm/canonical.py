@@ -24,6 +24,9 @@ NO_ENTRY = ("thailand", "ประเทศไทย", "ไทย", "ต่า
 # Spellings of one sound in romanised Thai, applied in order.
 _SOUNDS = (("ph", "p"), ("th", "t"), ("kh", "k"), ("ch", "j"), ("ee", "i"), ("oo", "u"), ("ay", "ai"), ("ae", "e"), ("ar", "a"), ("or", "o"), ("l", "r"))
 
+#: Names longer than this have too many deletes to be in the dictionary; they are met by the bag of letters.
+MOST_INDEXED = 64
+
 _TONES = set("็่้๊๋์ํ")
 _VOWELS = set("aeiouyะัาำิีึืุูเแโใไ")
 
@@ -99,9 +102,13 @@ class CanonicalList:
         self.index: dict[str, list[int]] = defaultdict(list)
         for at, (_, plain, sound, _) in enumerate(self.names):
             self.exact[plain].append(at)
-            for d in deletes(plain, self.edits) | deletes(sound, self.edits):
-                self.index[d].append(at)
+            for key in {plain, sound}:
+                if len(key) <= MOST_INDEXED:
+                    for d in deletes(key, self.edits):
+                        self.index[d].append(at)
         self.bags = [Counter(n[1]) for n in self.names]
+        # a value longer than any name by more than the bound is beyond the dictionary: none of its deletes is made
+        self.longest = max((len(x) for _, plain, sound, _ in self.names for x in (plain, sound) if len(x) <= MOST_INDEXED), default=0) + self.edits
         self.no_keys = {letters(x) for x in self.no_entry}
 
     def bare(self, value: str) -> str:
@@ -128,7 +135,7 @@ class CanonicalList:
         if v in self.exact:
             return self._best([(0.0, at) for at in self.exact[v]])
         s = sounds(v)
-        near = {at for d in deletes(v, self.edits) | deletes(s, self.edits) for at in self.index.get(d, ())}
+        near = {at for x in {v, s} if len(x) <= self.longest for d in deletes(x, self.edits) for at in self.index.get(d, ())}
         ranked = [(self.cost(v, s, at), at) for at in near]
         if ranked and min(ranked)[0] <= 1.0:
             return self._best(ranked)
