@@ -75,7 +75,8 @@ def mapping_rows() -> list[tuple[str, list[str], list[int]]]:
 def composition_rows() -> list[tuple[str, str]]:
     """(base and marks in order, the character that shows like them) of every canonical composition, and overprints."""
     rows = dict(_OVERPRINT)
-    for cp in range(0xA0, 0x2FA20):
+    # Hangul syllables are composed by a rule of their own and stay as they are
+    for cp in [*range(0xA0, 0xAC00), *range(0xF900, 0x2FA20)]:
         ch = chr(cp)
         full = unicodedata.normalize("NFD", ch)
         if full != ch and unicodedata.normalize("NFC", full) == ch and len(full) > 1:
