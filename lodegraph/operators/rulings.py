@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodegraph.functions.text import clean
+from lodegraph.operators.packed import packed_values
 
 # Rulings from the most to the least severe.
 SEVERITY = ("haram", "mashbooh", "halal")
@@ -37,6 +38,29 @@ def clean_rulings(df: DataFrame) -> DataFrame:
     return df.select("row_id", clean("ingredient_th").alias("ingredient"), clean("source_th").alias("source"), clean("source_type").alias("source_type"), F.lower(clean("ruling")).alias("ruling"), clean("basis_th").alias("basis"))
 
 
+# Fixed value: shorter aliases are too generic to be looked for.
+LEAST_ALIAS = 3
+
+
+def _aliases_of(values: DataFrame) -> DataFrame:
+    """(ingredient, alias): the values of LEAST_ALIAS letters or more, one spelling where only case differs."""
+    named = values.filter(F.col("ingredient").isNotNull() & (F.length("alias") >= LEAST_ALIAS))
+    return named.groupBy("ingredient", F.lower("alias").alias("__low")).agg(F.min("alias").alias("alias")).select("ingredient", "alias")
+
+
+def ingredient_aliases(df: DataFrame) -> DataFrame:
+    """(ingredient, alias): the values packed in the aliases of all rows of an ingredient, distinct by lower case."""
+    return _aliases_of(df.select(clean("ingredient_th").alias("ingredient"), F.explode(packed_values("aliases")).alias("alias")))
+
+
+def ingredient_terms(df: DataFrame) -> DataFrame:
+    """(ingredient, alias): all that an ingredient may be called in a text: its whole name, its English names, its E
+    numbers and its aliases, of all its rows."""
+    i = clean("ingredient_th").alias("ingredient")
+    named = df.select(i, F.explode(F.array(clean("ingredient_th"), clean("ingredient_en"), clean("e_number"))).alias("alias")).filter("alias IS NOT NULL")
+    return _aliases_of(named.unionByName(ingredient_aliases(df)))
+
+
 def invalid_rulings(df: DataFrame, required: tuple[str, ...] = ("ingredient_th", "source_th", "ruling")) -> DataFrame:
     """Rows that break the table's rules, one per broken rule: a required field missing, a ruling outside the domain."""
     rules = [F.when(clean(c).isNull(), F.lit(f"missing {c}")) for c in required]
@@ -48,8 +72,9 @@ def find_terms(texts: DataFrame, terms: DataFrame, text_id: str, text: str, term
     """(text_id, term_id, term): every term that occurs in a text, case ignored, once.
 
     No nested loop: texts are cut into runs as long as a term's first letters (the least length among the terms, at most
-    8, one pass per text), which meet the terms by an equi-join; the whole term is then compared at its place. Null and
-    empty texts and terms match nothing.
+    8, one pass per text), which meet the lengths that terms with those letters have; the text of each such length then
+    meets the terms by an equi-join on the whole term. So first letters that many terms share cost a text no more than
+    their few lengths. Null and empty texts and terms match nothing.
     """
     t = terms.select(F.col(term_id).alias("term_id"), F.lower(F.col(term)).alias("term")).filter("term <> ''").distinct()
     least = t.agg(F.min(F.length("term")).alias("m")).first()["m"]
@@ -58,10 +83,12 @@ def find_terms(texts: DataFrame, terms: DataFrame, text_id: str, text: str, term
     q = min(8, least)
     d = texts.select(F.col(text_id).alias("text_id"), F.lower(F.col(text)).alias("txt")).filter(F.length("txt") >= q)
     at = F.explode(F.sequence(F.lit(1), F.length("txt") - q + 1)).alias("at")
-    grams = d.select("text_id", "txt", at).select("text_id", F.substring("txt", F.col("at"), F.lit(q)).alias("gram"), F.col("at"), "txt")
-    keyed = t.withColumn("gram", F.substring("term", 1, q))
-    met = grams.join(keyed, "gram").filter(F.substring("txt", F.col("at"), F.length("term")) == F.col("term"))
-    return met.select("text_id", "term_id", "term").distinct()
+    longest = F.lit(t.agg(F.max(F.length("term")).alias("m")).first()["m"])
+    # what follows a place, up to the longest term, goes along; not the whole text
+    grams = d.select("text_id", "txt", at).select("text_id", F.substring("txt", F.col("at"), F.lit(q)).alias("gram"), F.substring("txt", F.col("at"), longest).alias("rest"))
+    lengths = t.groupBy(F.substring("term", 1, q).alias("gram")).agg(F.collect_set(F.length("term")).alias("lengths"))
+    pieces = grams.join(lengths, "gram").select("text_id", "rest", F.explode("lengths").alias("n")).filter(F.length("rest") >= F.col("n")).select("text_id", F.substring("rest", F.lit(1), F.col("n")).alias("term")).distinct()
+    return pieces.join(t, "term").select("text_id", "term_id", "term").distinct()
 
 
 def longest_term(found: DataFrame) -> DataFrame:

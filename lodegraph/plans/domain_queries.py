@@ -49,15 +49,12 @@ def ingredient_summary(spark: SparkSession, d: str) -> DataFrame:
 
 def _product_terms(spark: SparkSession, d: str) -> DataFrame:
     products = table(spark, d, "product_processed").select("row_id", "product_name")
-    names = _rulings(spark, d).filter("ingredient IS NOT NULL").select("ingredient").distinct()
-    # the fixed head words of ingredient names are what product names can hold
-    terms = names.select(F.col("ingredient").alias("term_id"), F.substring("ingredient", 1, 6).alias("term")).filter("length(term) = 6")
-    per_term = terms.groupBy("term").agg(F.min("term_id").alias("term_id"))
-    return R.longest_term(R.find_terms(products, per_term, "row_id", "product_name", "term_id", "term"))
+    terms = R.ingredient_terms(table(spark, d, "ingredient_rulings"))
+    return R.longest_term(R.find_terms(products, terms, "row_id", "product_name", "ingredient", "alias"))
 
 
 def term_link(spark: SparkSession, d: str) -> DataFrame:
-    """Products whose name holds the head of an ingredient's name."""
+    """Products whose name holds an ingredient's name, English name, E number or alias; per ingredient the longest."""
     return _product_terms(spark, d).select(F.col("text_id").alias("row_id"), F.col("term_id").alias("ingredient"), "term")
 
 
