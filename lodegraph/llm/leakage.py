@@ -129,9 +129,7 @@ def _rare_terms(terms: DataFrame, frequencies: DataFrame) -> DataFrame:
                     j = i
                     while j + 1 < len(mask) and mask[j + 1]:
                         j += 1
-                    a = pos[i - 1] + 1 if i else 0
-                    b = pos[j + 1] + GRAM - 1 if j + 1 < len(mask) else n
-                    total += b - a
+                    total += min(n, pos[j] + GRAM + _WINDOW - 1) - max(0, pos[i] - _WINDOW + 1)
                     i = j
                 i += 1
             return total
@@ -179,7 +177,7 @@ def leaks(docs: DataFrame, passages: DataFrame, doc_id: str = "doc_id", doc_text
     matches, not the corpus. Per passage the terms are taken from the rarest on; the most frequent ones (stock
     sentences) are left out as long as they can cover only a small share of it, which is then allowed for, so nothing
     is lost. Lists are joined by term and aligned by offset; where aligned postings could not cover the share even if
-    every stretch ran on to the next posting, the pair is dropped. Proximity is the sum over offsets. The few pairs
+    every run of them reached a window further at both ends, the pair is dropped. Proximity is the sum over offsets. The few pairs
     that remain are compared letter by letter.
     """
     spark = docs.sparkSession
@@ -193,8 +191,11 @@ def leaks(docs: DataFrame, passages: DataFrame, doc_id: str = "doc_id", doc_text
     p = rare.select("h", "passage_id", F.col("pos").alias("p_pos"), "prev", "next", "n", "spared")
     hits = postings.join(p, "h").select("doc_id", "passage_id", (F.col("pos") - F.col("p_pos")).alias("offset"), "p_pos", "prev", "next", "n", "spared")
     line = Window.partitionBy("doc_id", "passage_id", "offset").orderBy("p_pos")
-    # a posting that follows its neighbour adds the step to the next one; one on its own, all up to its neighbours
-    adds = F.when(F.lag("p_pos").over(line) == F.col("prev"), F.col("next") - F.col("p_pos")).otherwise(F.col("next") + GRAM - 1 - F.col("prev") - 1)
+    # a stretch begins and ends no more than _WINDOW - 1 letters beyond the postings that its own windows choose; what
+    # lies beyond those was chosen by windows that reach out of the stretch and need not be chosen in the document. A
+    # posting that follows its neighbour moves the end, one on its own begins a run
+    end = lambda c: F.least(F.col("n"), F.col(c) + GRAM + _WINDOW - 1)
+    adds = F.when(F.lag("p_pos").over(line) == F.col("prev"), end("p_pos") - end("prev")).otherwise(end("p_pos") - F.greatest(F.lit(0), F.col("p_pos") - (_WINDOW - 1)))
     reached = hits.withColumn("adds", adds).groupBy("doc_id", "passage_id").agg(F.sum("adds").alias("most"), F.first("n").alias("n"), F.first("spared").alias("spared"))
     pairs = reached.filter(F.col("most") + F.col("spared") >= SHARE * F.col("n") - 1e-9).select("doc_id", "passage_id")
 
