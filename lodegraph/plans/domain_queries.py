@@ -72,9 +72,7 @@ def ingredient_list(spark: SparkSession, d: str) -> DataFrame:
 
 def alias_index(spark: SparkSession, d: str) -> DataFrame:
     """Distinct aliases of three letters or more per ingredient, of all its rows."""
-    r = table(spark, d, "thai_eval").filter("hop_type IS NOT NULL")
-    v = r.select("hop_type", F.explode(packed_values("aliases")).alias("alias")).filter(F.length("alias") >= 3)
-    return v.groupBy("hop_type").agg(F.countDistinct(F.lower("alias")).alias("n_aliases"), F.count("*").alias("n"))
+    return R.ingredient_aliases(table(spark, d, "ingredient_rulings"))
 
 
 def be_year_parse(spark: SparkSession, d: str) -> DataFrame:
