@@ -3,6 +3,10 @@ by containment, merged to a few seeds per question."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,17 +37,54 @@ def gazetteer_hits(questions: DataFrame, nodes: DataFrame, least: int = 4) -> Da
     return without_shadowed(named).select("question_id", "node_id", "label", "name", F.lit(1.0).alias("score"), F.lit("name").alias("matched_by"))
 
 
-def similar_hits(questions: DataFrame, nodes: DataFrame, gram: int = 5, most: int = 20, least_score: float = 0.5, stop_share: int = 200) -> DataFrame:
-    """Names that share runs of ``gram`` letters with a question: an inverted index of grams is met by the question's,
-    the ``most`` nodes with most shared grams per question (a top-k) are scored by the Dice measure of their longest
-    common run. Runs in more than ``stop_share`` names are stop runs of the index, as stop words are of a text index."""
+# Names per block and questions per chunk that meet in one task.
+_BLOCK, _CHUNK = 50_000, 2_000
+
+
+def _met(questions: DataFrame, names: DataFrame, gram: int, pick: Callable, schema: str) -> DataFrame:
+    """``pick`` over every question (question_id, q) and the number of different runs of ``gram`` letters that it shares
+    with each name (node_id, low), all runs counted.
+
+    Names in blocks meet questions in chunks, every block every chunk, so a run that many names have is a longer list of
+    one block and never a task of its own, and no pair of question and name is shuffled but those picked."""
+    n_blocks, n_chunks = (max(1, -(-df.count() // size)) for df, size in ((names, _BLOCK), (questions, _CHUNK)))
+    every = lambda n, c: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(c)
+    n = names.withColumn("block", F.pmod(F.xxhash64("node_id"), F.lit(n_blocks)).cast("int")).select("*", every(n_chunks, "chunk"))
+    q = questions.withColumn("chunk", F.pmod(F.xxhash64("question_id"), F.lit(n_chunks)).cast("int")).select("*", every(n_blocks, "block"))
+    columns = [x.split()[0] for x in schema.split(", ")]
+
+    def meet(asked: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values("node_id", kind="stable").reset_index(drop=True)
+        runs = [{t[i : i + gram] for i in range(len(t) - gram + 1)} for t in asked["q"]]
+        wanted, lists = set().union(*runs), {}
+        for k, low in enumerate(block["low"]):
+            for g in {low[i : i + gram] for i in range(len(low) - gram + 1)} & wanted:
+                lists.setdefault(g, []).append(k)
+        lists = {g: np.array(x, np.int32) for g, x in lists.items()}
+        out = []
+        for qid, t, own in zip(asked["question_id"], asked["q"], runs):
+            some = [lists[g] for g in own if g in lists]
+            if some:
+                out += [(qid, *x) for x in pick(t, np.bincount(np.concatenate(some), minlength=len(block)), block)]
+        return pd.DataFrame(out, columns=columns)
+
+    return q.groupBy("chunk", "block").cogroup(n.groupBy("chunk", "block")).applyInPandas(meet, schema)
+
+
+def similar_hits(questions: DataFrame, nodes: DataFrame, gram: int = 5, most: int = 20, least_score: float = 0.5) -> DataFrame:
+    """Names that share runs of ``gram`` letters with a question: the ``most`` nodes with most shared runs per question
+    (a top-k over all runs and all nodes, ties by node) are scored by the Dice measure of their longest common run."""
     q = questions.select("question_id", F.lower("question").alias("q")).filter(F.length("q") >= gram)
     n = nodes.select("node_id", "label", "name", F.lower("name").alias("low")).filter(F.length("low") >= gram)
-    runs = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - gram + 1), lambda i: F.substring(c, i, F.lit(gram))))
-    index = n.select("node_id", F.explode(runs(F.col("low"))).alias("g"))
-    asked = q.select("question_id", F.explode(runs(F.col("q"))).alias("g"))
-    telling = index.groupBy("g").agg(F.count("*").alias("df")).filter(F.col("df") <= stop_share).select("g")
-    shared = asked.join(telling, "g").join(index, "g").groupBy("question_id", "node_id").agg(F.count("*").alias("n"))
+
+    def first(_: str, counts: np.ndarray, block: pd.DataFrame) -> list[tuple]:
+        some = np.flatnonzero(counts)
+        if len(some) > most:
+            some = some[counts[some] >= np.partition(counts[some], -most)[-most]]
+        best = some[np.argsort(-counts[some], kind="stable")][:most]
+        return list(zip(block["node_id"].iloc[best], counts[best].tolist()))
+
+    shared = _met(q, n.select("node_id", "low"), gram, first, "question_id string, node_id string, n long")
     w = Window.partitionBy("question_id").orderBy(F.desc("n"), "node_id")
     best = shared.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= most).join(n, "node_id").join(q, "question_id")
     run = longest_common_substring("low", "q")
