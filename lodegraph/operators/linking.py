@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lodegraph.functions.text import dice, longest_common_substring, thai_len
 from lodegraph.operators.rulings import find_terms
+from lodegraph.session import cut
 
 # Punctuation that separates words of a question.
 _PUNCTUATION = r"[\"'“”‘’()\[\]{}<>?!.,;:|/\\]+"
@@ -40,6 +41,23 @@ def gazetteer_hits(questions: DataFrame, nodes: DataFrame, least: int = 4) -> Da
 # Names per block and questions per chunk that meet in one task.
 _BLOCK, _CHUNK = 50_000, 2_000
 
+# The shortest run of letters that the containment pass goes by, and runs that say nothing.
+LEAST_RUN = 3
+STOPWORDS = (
+    "ฮาลาล", "ร้าน", "ร้านอาหาร", "ใกล้", "ใน", "ที่", "มี", "ไหน", "อะไร", "จังหวัด", "อยู่", "คือ", "ของ", "และ", "หรือ", "กับ", "ให้", "ได้", "เป็น", "ไม่", "จาก", "แห่ง", "บ้าง", "ใด", "กี่", "ชื่อ", "ประเภท", "แบบ", "ทั้งหมด", "เดียวกัน",
+    "อะไรบ้าง", "ที่ไหน", "เท่าไหร่", "อย่างไร", "ทำไม", "ภาค", "อำเภอ", "เขต",
+)
+
+
+def _longest_run(name: str, q: str, most: int) -> int:
+    """Letters of the longest run of ``name`` in ``q`` that is no stop word, at least LEAST_RUN and at most ``most``; else 0."""
+    for k in range(min(len(name), most), LEAST_RUN - 1, -1):
+        for i in range(len(name) - k + 1):
+            x = name[i : i + k]
+            if x in q and x.strip() not in STOPWORDS and len(x.strip()) >= LEAST_RUN:
+                return k
+    return 0
+
 
 def _met(questions: DataFrame, names: DataFrame, gram: int, pick: Callable, schema: str) -> DataFrame:
     """``pick`` over every question (question_id, q) and the number of different runs of ``gram`` letters that it shares
@@ -91,14 +109,55 @@ def similar_hits(questions: DataFrame, nodes: DataFrame, gram: int = 5, most: in
     return best.withColumn("score", F.round(dice(run, F.length("low")), 4)).filter(F.col("score") >= least_score).select("question_id", "node_id", "label", "name", "score", F.lit("similar").alias("matched_by"))
 
 
+def contained_hits(questions: DataFrame, nodes: DataFrame, limit: int = 5) -> DataFrame:
+    """Names that share a run of LEAST_RUN letters or more with a question: the ``limit`` best names by the Dice measure
+    of the longest such run. Names are compared from the highest bound down (a name with c shared runs has no common run
+    longer than c + LEAST_RUN - 1), until no bound reaches the last of the best, so none is lost."""
+    q = questions.select("question_id", F.lower("question").alias("q")).filter(F.length("q") >= LEAST_RUN)
+    n = nodes.select("node_id", "label", "name", F.lower("name").alias("low")).filter(F.length("low") >= LEAST_RUN)
+
+    def best(t: str, counts: np.ndarray, block: pd.DataFrame) -> list[tuple]:
+        ids, lows = block["node_id"].to_numpy(), block["low"].to_numpy()
+        some = np.flatnonzero(counts)
+        size = block["low"].str.len().to_numpy()[some]
+        # a run may repeat within a name: then its number of different runs bounds nothing
+        run = np.minimum(np.where(block["repeats"].to_numpy()[some], size, counts[some] + LEAST_RUN - 1), size)
+        bound = 2.0 * run / (run + size)
+        found: dict[str, tuple] = {}
+        last = 0.0
+        for j in np.argsort(-bound, kind="stable"):
+            if bound[j] + 1e-4 < last:
+                break
+            k = some[j]
+            if lows[k] in found:
+                continue  # an earlier node of the same name has the same bound and the lesser id
+            if length := _longest_run(lows[k], t, int(run[j])):
+                score = np.floor(2.0 * length / (length + len(lows[k])) * 1e4 + 0.5) / 1e4
+                found[lows[k]] = (-score, -len(lows[k]), ids[k], length)
+                if len(found) >= limit:
+                    last = -sorted(found.values())[limit - 1][0]
+        return [(x[2], x[3]) for x in sorted(found.values())[:limit]]
+
+    # a run of equal letters or of one pattern has fewer different runs than places
+    grams = F.transform(F.sequence(F.lit(1), F.length("low") - LEAST_RUN + 1), lambda i: F.substring("low", i, F.lit(LEAST_RUN)))
+    named = n.select("node_id", "low", (F.size(F.array_distinct(grams)) < F.size(grams)).alias("repeats"))
+    shared = _met(q, named, LEAST_RUN, best, "question_id string, node_id string, run int")
+    scored = shared.join(n, "node_id").withColumn("score", F.round(dice(F.col("run"), F.length("low")), 4))
+    return scored.select("question_id", "node_id", "label", "name", "score", F.lit("contains").alias("matched_by"))
+
+
 def seeds(questions: DataFrame, nodes: DataFrame, limit: int = 5, floor: float = 0.75) -> DataFrame:
     """(question_id, node_id, label, name, score, matched_by, rank): per question at most ``limit`` nodes, one per name,
-    none below ``floor`` of the best score. Exact names come first; only questions without one are linked by
-    similarity."""
-    exact = gazetteer_hits(questions, nodes)
-    rest = questions.join(exact.select("question_id").distinct(), "question_id", "left_anti")
-    every = exact.unionByName(similar_hits(rest, nodes))
-    by_name = Window.partitionBy("question_id", F.lower("name")).orderBy(F.desc("score"), "node_id")
+    none below ``floor`` of the best score. Exact and similar names are sought for every question, names that only share
+    a part with it for questions without either. Similar names that lie inside an exact one are that one's."""
+    exact = cut(gazetteer_hits(questions, nodes))
+    similar = similar_hits(questions, nodes).alias("a")
+    longer = exact.select("question_id", F.col("name").alias("longer")).distinct().alias("b")
+    inside = (F.col("a.question_id") == F.col("b.question_id")) & (F.lower("a.name") != F.lower("b.longer")) & F.contains(F.lower("b.longer"), F.lower("a.name"))
+    hits = cut(exact.unionByName(similar.join(longer, inside, "left_anti")))
+    rest = cut(questions.join(hits.select("question_id").distinct(), "question_id", "left_anti"))
+    every = hits.unionByName(contained_hits(rest, nodes, limit))
+    by_name = Window.partitionBy("question_id", F.lower("name")).orderBy(F.desc("score"), "node_id", "matched_by")
     one = every.withColumn("i", F.row_number().over(by_name)).filter("i = 1").drop("i")
     best = F.max("score").over(Window.partitionBy("question_id"))
     w = Window.partitionBy("question_id").orderBy(F.desc("score"), F.desc(F.length("name")), "node_id")

@@ -1,4 +1,6 @@
-"""Links of questions to names: all runs count, none is left out."""
+"""Links of questions to names: all runs count, all passes run; against brute force."""
+
+import random
 
 from lodegraph.operators import linking as L
 
@@ -6,8 +8,47 @@ Q = "question_id string, question string"
 N = "node_id string, label string, name string"
 
 
+def _lcs(a, b):
+    return max((k for i in range(len(a)) for k in range(1, len(a) - i + 1) if a[i : i + k] in b), default=0)
+
+
 def test_runs_in_many_names_count(spark):
     nodes = spark.createDataFrame([(f"n{i:03}", "Place", f"central hotel {i:03}") for i in range(300)], N)
     q = spark.createDataFrame([("1", "which central hotel is it")], Q)
     got = [r["node_id"] for r in L.similar_hits(q, nodes).orderBy("node_id").collect()]
     assert got == [f"n{i:03}" for i in range(20)]
+
+
+def test_second_name_in_another_spelling(spark):
+    nodes = spark.createDataFrame([("a", "Place", "Golden Temple"), ("b", "Place", "Riverside Gardens"), ("c", "Place", "Temple")], N)
+    q = spark.createDataFrame([("1", "from golden temple to riverside garden")], Q)
+    got = {r["node_id"]: r["matched_by"] for r in L.seeds(q, nodes).collect()}
+    assert got == {"a": "name", "b": "similar"}
+
+
+def test_part_of_a_name_is_the_last_resort(spark):
+    nodes = spark.createDataFrame([("a", "Place", "Mooz International Restaurant"), ("b", "Place", "Harbour")], N)
+    q = spark.createDataFrame([("1", "what of mooz"), ("2", "qqqq"), ("3", "harbour")], Q)
+    got = {(r["question_id"], r["node_id"]): r["matched_by"] for r in L.seeds(q, nodes).collect()}
+    assert got == {("1", "a"): "contains", ("3", "b"): "name"}
+
+
+def test_passes_against_brute_force(spark):
+    r = random.Random(3)
+    word = lambda n: "".join(r.choice("abc ") for _ in range(n)).strip() or "a"
+    names = [(f"n{i:03}", "X", word(r.randrange(3, 16))) for i in range(150)]
+    asked = [(str(i), word(r.randrange(3, 25))) for i in range(25)]
+    nodes, q = spark.createDataFrame(names, N), spark.createDataFrame(asked, Q)
+    runs = lambda t: {t[i : i + 5] for i in range(len(t) - 4)}
+    similar, contained = set(), set()
+    for i, t in asked:
+        top = sorted((-len(runs(t) & runs(n)), k, n) for k, _, n in names if runs(t) & runs(n))[:20]
+        similar |= {(i, k) for _, k, n in top if round(2 * _lcs(n, t) / (_lcs(n, t) + len(n)), 4) >= 0.5}
+        best = {}
+        for k, _, n in names:
+            c = max((m for m in range(3, len(n) + 1) for a in range(len(n) - m + 1) if n[a : a + m] in t and len(n[a : a + m].strip()) >= 3), default=0)
+            if c and n not in best:
+                best[n] = (-round(2 * c / (c + len(n)), 4), -len(n), k)
+        contained |= {(i, x[2]) for x in sorted(best.values())[:5]}
+    assert {(x["question_id"], x["node_id"]) for x in L.similar_hits(q, nodes).collect()} == similar
+    assert {(x["question_id"], x["node_id"]) for x in L.contained_hits(q, nodes).collect()} == contained
