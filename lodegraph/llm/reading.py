@@ -207,7 +207,8 @@ def reading_levels(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
     joined with the labels are features, never texts.
     """
     readable = _readable(docs, doc_id, text)
-    measured = cut(features(readable, familiar_words(readable)))
+    every = docs.select(F.col(text).alias("text")).filter("text IS NOT NULL")
+    measured = cut(features(readable, familiar_words(every)))
     rated = labels.select(F.col(label_id).cast("long").alias("doc_id"), F.col(level).cast("double").alias("y")).dropna().groupBy("doc_id").agg(F.avg("y").alias("y"))
     sample = measured.join(rated, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED).toPandas()
     score = None
