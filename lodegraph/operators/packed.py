@@ -14,16 +14,21 @@ DELIMITERS = r"|;,/、，；｜\t\n\r"
 _CUT, _COMMA, _SLASH = "\ufdd0", "\ufdd1", "\ufdd2"
 _SP = _SPACE
 
-# A quoted value starts where a value may start and ends where one may end: any other quote is a letter.
-_DOUBLE = r'"((?:[^"\\]|\\.|"")*)"'
+# A quoted value starts where a value may start and ends where one may end: any other quote is a letter. All repetitions
+# are possessive: they need no stack, however long a value is.
+_DOUBLE = r'"((?:[^"\\]++|\\.|"")*+)"'
 _CURLY = "“([^“”]*)”"
-_SINGLE = r"'((?:[^'\\]|\\.)*)'"
+_SINGLE = r"'((?:[^'\\]++|\\.)*+)'"
 _ANGLE = "«([^«»]*)»"
 _CURLY1 = "‘([^‘]*?)’"
 _QUOTED = f"(?s)(^|[{DELIMITERS}])({_SP}*)(?:{_DOUBLE}|{_CURLY}|{_SINGLE}|{_ANGLE}|{_CURLY1})(?={_SP}*(?:$|[{DELIMITERS}]))"
 
-# What an unquoted stretch consists of: bracketed groups (one level of nesting), delimiters, runs of letters.
-_OUTSIDE = rf"(?s)\((?:[^()]|\([^()]*\))*\)|[{DELIMITERS}]|[^({DELIMITERS}]+|\("
+# What an unquoted stretch consists of: bracketed groups (four levels in one token), brackets that are part of no such
+# group, delimiters, runs of letters.
+_GROUP = r"\([^()]*+\)"
+for _ in range(3):
+    _GROUP = rf"\((?:[^()]++|{_GROUP})*+\)"
+_OUTSIDE = rf"(?s){_GROUP}|[(){DELIMITERS}]|[^(){DELIMITERS}]++"
 _IS_DELIMITER = f"^[{DELIMITERS}]$"
 
 
@@ -35,11 +40,29 @@ def _unescape(literal: Column) -> Column:
     return F.when(F.contains(literal, F.lit("\\")), F.coalesce(F.element_at(as_json, 1), plain)).otherwise(plain)
 
 
+def _kinds(tokens: Column) -> Column:
+    """Kinds of the tokens of an unquoted stretch with deeper nesting: 'd' a delimiter, 'o' a bracket that opens, 'c' one that closes, 't' all
+    else. An opening bracket that nothing closes is a letter; this is told from the end, where the closing ones are."""
+    start = F.struct(F.lit(0).alias("closing"), F.array().cast("array<string>").alias("kinds"))
+
+    def step(acc: Column, s: Column) -> Column:
+        opens = (s == "(") & (acc["closing"] > 0)
+        kind = F.when(s == ")", "c").when(opens, "o").when(s.rlike(_IS_DELIMITER), "d").otherwise("t")
+        left = acc["closing"] + F.when(s == ")", 1).when(opens, -1).otherwise(0)
+        return F.struct(left.alias("closing"), F.concat(acc["kinds"], F.array(kind)).alias("kinds"))
+
+    return F.reverse(F.aggregate(F.reverse(tokens), start, step, lambda acc: acc["kinds"]))
+
+
 def _tokens(piece: Column, i: Column) -> Column:
-    """Tokens of a piece: a literal is one token of kind 'v'; outside, delimiters are 'd' and all else 't'."""
+    """Tokens of a piece: a literal is one token of kind 'v'; the kinds outside are those of _kinds."""
     inside = F.array(F.struct(F.lit("v").alias("k"), _unescape(piece).alias("s")))
     held = F.regexp_replace(F.regexp_replace(piece, r"(?<=\p{Nd}),(?=\p{Nd})", _COMMA), r"(?<=\p{Nd})/(?=\p{Nd})", _SLASH)
-    outside = F.transform(F.regexp_extract_all(held, F.lit(_OUTSIDE), F.lit(0)), lambda s: F.struct(F.when(s.rlike(_IS_DELIMITER), "d").otherwise("t").alias("k"), F.translate(s, _COMMA + _SLASH, ",/").alias("s")))
+    tokens = F.regexp_extract_all(held, F.lit(_OUTSIDE), F.lit(0))
+    simple = F.transform(tokens, lambda s: F.when(s.rlike(_IS_DELIMITER), "d").otherwise("t"))
+    deep = F.array_contains(tokens, "(") & F.array_contains(tokens, ")")
+    kinds = F.when(deep, _kinds(tokens)).otherwise(simple)
+    outside = F.zip_with(tokens, kinds, lambda s, k: F.struct(k.alias("k"), F.translate(s, _COMMA + _SLASH, ",/").alias("s")))
     return F.when(i % 2 == 1, inside).otherwise(outside)
 
 
@@ -49,7 +72,7 @@ def packed_values(field: str | Column) -> Column:
     A list's square brackets are dropped, then the field is split at the quotes that enclose values: odd pieces are
     literal values, even pieces are split at delimiters, and a fold puts the values together again. Values are trimmed
     of white space of any kind; empty ones are left out; repeated ones stay. Inside enclosing quotes and round
-    brackets, and directly between two digits (comma, slash), a delimiter belongs to the value. NULL and blank fields
+    brackets, nested to any depth, and directly between two digits (comma, slash), a delimiter belongs to the value. NULL and blank fields
     give an empty array.
     """
     c = F.col(field) if isinstance(field, str) else field
@@ -58,14 +81,16 @@ def packed_values(field: str | Column) -> Column:
     marked = F.regexp_replace(t, _QUOTED, f"$1$2{_CUT}$3$4$5$6$7{_CUT}")
     pieces = F.split(marked, _CUT)
     tokens = F.flatten(F.transform(pieces, _tokens))
-    # fold: a delimiter closes the open value, anything else is added to it
+    # fold: a delimiter outside brackets closes the open value, anything else is added to it
+    step = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"), F.lit(0).alias("depth"))
+    deeper = lambda acc, x: F.greatest(F.lit(0), acc["depth"] + F.when(x["k"] == "o", 1).when(x["k"] == "c", -1).otherwise(0))
     values = F.aggregate(
         tokens,
-        F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open")),
+        step,
         lambda acc, x: F.when(
-            (x["k"] == "d"),
-            F.struct(F.concat(acc["done"], F.array(acc["open"])).alias("done"), F.lit("").alias("open")),
-        ).otherwise(F.struct(acc["done"].alias("done"), F.concat(acc["open"], x["s"]).alias("open"))),
+            (x["k"] == "d") & (acc["depth"] == 0),
+            F.struct(F.concat(acc["done"], F.array(acc["open"])).alias("done"), F.lit("").alias("open"), F.lit(0).alias("depth")),
+        ).otherwise(F.struct(acc["done"].alias("done"), F.concat(acc["open"], x["s"]).alias("open"), deeper(acc, x).alias("depth"))),
         lambda acc: F.concat(acc["done"], F.array(acc["open"])),
     )
     return F.filter(F.transform(values, utrim), lambda v: v != "")

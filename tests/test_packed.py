@@ -100,3 +100,24 @@ def test_table_equals_reader(spark, table):
     df = spark.read.parquet(f"/root/testdata/sf0.01/{table}.parquet")
     bad = [(r["aliases"], r["v"], brute(r["aliases"])) for r in df.select("aliases", packed_values("aliases").alias("v")).collect() if "\\u" not in (r["aliases"] or "") and r["v"] != brute(r["aliases"])]
     assert not bad, bad[:3]
+
+
+def test_long_quoted_and_bracketed_values(spark):
+    """A value's length costs no stack."""
+    long = "ก," * 50_000
+    fields = [f'"{long}", b', f"x ({long}), b", f"'{long}' | b", '"' + 'a""' * 30_000 + '", b', "(" * 300 + "a, b" + ")" * 300 + ", c"]
+    want = [[long, "b"], [f"x ({long})", "b"], [long, "b"], ['a"' * 30_000, "b"], ["(" * 300 + "a, b" + ")" * 300, "c"]]
+    df = spark.createDataFrame([(i, f) for i, f in enumerate(fields)], "i int, f string")
+    got = [r["v"] for r in df.select("i", packed_values("f").alias("v")).orderBy("i").collect()]
+    assert got == want
+
+
+@pytest.mark.parametrize(
+    ("field", "want"),
+    [
+        ("x (a (b, (c, d)), e), f", ["x (a (b, (c, d)), e)", "f"]),
+        ("(a, b", ["(a", "b"]), ("a), b", ["a)", "b"]), ("((a, b), c", ["((a, b)", "c"]), ("a)), (b, c), d", ["a))", "(b, c)", "d"]), ("(a, b)) , c", ["(a, b))", "c"]),
+    ],
+)
+def test_nested_and_unmatched_brackets(spark, field, want):
+    assert spark.createDataFrame([(field,)], "f string").select(packed_values("f").alias("v")).first()["v"] == want
