@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.llm.canonical import PROVINCE_AFFIXES, map_column
+from lodegraph.llm.canonical import PROVINCE_AFFIXES, THAI_SOUNDS, map_column
 from lodegraph.llm.leakage import leaks
 from lodegraph.llm.lookalike import canonical_forms, look_alike_rows
 from lodegraph.llm.packing import fill_report, pack
@@ -18,8 +18,8 @@ LOOK_ALIKE_FIELDS = (("thai_eval", "question"), ("ingredient_rulings", "ingredie
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The canonical entry of every province and province_source that is not canonical yet."""
     places, provinces, sources = (table(spark, sf_dir, t) for t in ("places", "provinces", "province_sources"))
-    a = map_column(places, "row_id", "province", provinces, "province_id", "name_th", ["name_en", "alt_names"], PROVINCE_AFFIXES)
-    b = map_column(places, "row_id", "province_source", sources, "source_id", "code", ["alt_names"])
+    a = map_column(places, "row_id", "province", provinces, "province_id", "name_th", ["name_en", "alt_names"], PROVINCE_AFFIXES, THAI_SOUNDS)
+    b = map_column(places, "row_id", "province_source", sources, "source_id", "code", ["alt_names"], sounds=THAI_SOUNDS)
     return a.unionByName(b)
 
 
