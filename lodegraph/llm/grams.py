@@ -8,6 +8,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from lodegraph.llm.invisible import INVISIBLE
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -22,7 +24,7 @@ def kept_characters() -> np.ndarray:
         cat = unicodedata.category(ch)
         if cat == "Nd":
             table[cp] = ord("0") + unicodedata.digit(ch)
-        elif cat[0] in "LNM" and not 0xFE00 <= cp < 0xFE10 and cp != 0x34F:
+        elif cat[0] in "LNM" and cp not in INVISIBLE:
             low = ch.lower()
             table[cp] = ord(low) if len(low) == 1 else cp
     for a, b in ((0x3400, 0xA000), (0xAC00, 0xD800), (0x1F000, 0x323B0)):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodegraph.llm.canonical import PROVINCE_AFFIXES, THAI_SOUNDS, map_column
 from lodegraph.llm.leakage import leaks
-from lodegraph.llm.lookalike import canonical_forms, look_alike_rows
+from lodegraph.llm.lookalike import look_alike_rows
 from lodegraph.llm.packing import fill_report, pack
 from lodegraph.llm.reading import level_profile, reading_levels
 from lodegraph.session import table
@@ -35,7 +35,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
     for name, field in LOOK_ALIKE_FIELDS:
         df = table(spark, sf_dir, name)
-        part = look_alike_rows(df, canonical_forms(df, field), "row_id", field).select(F.lit(name).alias("src_table"), "id_a", "id_b")
+        part = look_alike_rows(df, "row_id", field).select(F.lit(name).alias("src_table"), "id_a", "id_b")
         out = part if out is None else out.unionByName(part)
     return out
 
