@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodegraph.session import cut
@@ -78,6 +78,36 @@ class Quadtree:
         margins, so the box's corners reach all of them."""
         return np.stack([self.leaf(lat + a * self.dlat, lon + b * self.dlon) for a in (-1, 1) for b in (-1, 1)], axis=1)
 
+    def leaves_met(self, lat0, lat1, lon0, lon1) -> tuple[np.ndarray, np.ndarray]:
+        """(box index, leaf) for every leaf that a box meets: all boxes go down the tree together."""
+        height, width = self.box.lat1 - self.box.lat0, self.box.lon1 - self.box.lon0
+        at, first, depth = np.arange(len(lat0)), np.zeros(len(lat0), np.int64), 0
+        out_at, out_leaf = [], []
+        while len(at):
+            span = 1 << (2 * (_BITS - depth))
+            y, x, side = _gather(first >> 1), _gather(first), 1 << (_BITS - depth)
+            # points beyond the envelope's border belong to its outermost cells
+            low = lambda c, start, size: np.where(c == 0, -np.inf, start + c / (1 << _BITS) * size)
+            high = lambda c, start, size: np.where(c + side >= 1 << _BITS, np.inf, start + (c + side) / (1 << _BITS) * size)
+            slack = 1e-9  # for the rounding of the cells' borders
+            meets = (lat1[at] + slack >= low(y, self.box.lat0, height)) & (lat0[at] - slack <= high(y, self.box.lat0, height)) & (lon1[at] + slack >= low(x, self.box.lon0, width)) & (lon0[at] - slack <= high(x, self.box.lon0, width))
+            at, first = at[meets], first[meets]
+            leaf = np.searchsorted(self.starts, first, side="right") - 1
+            end = np.r_[self.starts[1:], 1 << (2 * _BITS)][leaf]
+            whole = end >= first + span
+            out_at.append(at[whole])
+            out_leaf.append(leaf[whole])
+            at, first, depth = np.repeat(at[~whole], 4), (first[~whole][:, None] + np.arange(4) * (span >> 2)).ravel(), depth + 1
+        return np.concatenate(out_at), np.concatenate(out_leaf)
+
+
+def _gather(code: np.ndarray) -> np.ndarray:
+    """Every second bit of Morton codes, the inverse of _spread."""
+    v = code & 0x5555555555555555
+    for shift, mask in ((1, 0x3333333333333333), (2, 0x0F0F0F0F0F0F0F0F), (4, 0x00FF00FF00FF00FF), (8, 0x0000FFFF0000FFFF), (16, 0x00000000FFFFFFFF)):
+        v = (v | (v >> shift)) & mask
+    return v
+
 
 def _spread(v: np.ndarray) -> np.ndarray:
     v = v.astype(np.int64)
@@ -121,30 +151,42 @@ class RTree:
                 yield np.repeat(some, len(own)), np.tile(own, len(some))
 
 
-def spots(df: DataFrame, lat: str, lon: str, box: Box) -> DataFrame:
-    """Distinct places of the located rows: rows on one spot count once in everything that follows."""
-    return df.filter(box.located(lat, lon)).select(F.col(lat).alias("lat"), F.col(lon).alias("lon")).distinct()
+@dataclass
+class Located:
+    """The distinct spots of the located rows, with the number of different keys on each, and a quadtree over them."""
+
+    spots: DataFrame
+    tree: Quadtree
 
 
-def plan_quadtree(places: DataFrame, box: Box, margin_m: float, leaf_points: int = 2000, sample_points: int = 100_000) -> Quadtree:
-    """A quadtree fitted to a sample of at most about ``sample_points`` spots, chosen by hash. The sample steers the
-    partition sizes only, never a result; its size bounds what comes to the driver and the number of leaves."""
+def _tasks(df: DataFrame) -> int:
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def locate(df: DataFrame, lat: str, lon: str, box: Box, margin_m: float, key: str | None = None, leaf_points: int = 2000, sample_points: int = 100_000) -> Located:
+    """Spots and a quadtree fitted to a sample of at most about ``sample_points`` of them, chosen by hash. The sample steers
+    the partition sizes only, never a result; its size bounds what comes to the driver and the number of leaves. Rows on
+    one spot count once in everything that follows."""
+    rows = df.filter(box.located(lat, lon)).select(F.col(lat).alias("lat"), F.col(lon).alias("lon"), (F.col(key) if key else F.lit(None)).alias("key"))
+    members = rows.distinct().groupBy("lat", "lon").agg(F.count("*").alias("members"))
+    places = cut(members.repartition(_tasks(df), F.xxhash64("lat", "lon")))
     n = places.count()
     share = min(1.0, sample_points / max(n, 1))
     picked = places if share == 1.0 else places.filter(F.pmod(F.xxhash64("lat", "lon"), F.lit(1_000_000)) < int(share * 1_000_000))
-    rows = picked.select("lat", "lon").toPandas().to_numpy(dtype=float).reshape(-1, 2)
-    return Quadtree(box, rows, leaf_points * max(share, 1e-9), margin_m)
+    sample = picked.select("lat", "lon").toPandas().to_numpy(dtype=float).reshape(-1, 2)
+    return Located(places, Quadtree(box, sample, leaf_points * max(share, 1e-9), margin_m))
 
 
-def near_spots(places: DataFrame, tree: Quadtree, within_m: float, task_points: int = 20_000) -> DataFrame:
+def near_spots(located: Located, within_m: float, task_points: int = 20_000) -> DataFrame:
     """(lat_a, lon_a, lat_b, lon_b): every unordered pair of different spots at most ``within_m`` apart, once.
 
-    ``tree`` must have been planned with a margin of at least half of ``within_m``. A leaf that holds more than
+    The tree must have been planned with a margin of at least half of ``within_m``. A leaf that holds more than
     ``task_points`` spots is cut into blocks by hash and its pairs of blocks become tasks of their own, so no task ever
     holds more than two blocks. Only leaf counts (as many as the tree has leaves) come to the driver.
     """
-    spark = places.sparkSession
-    shared = spark.sparkContext.broadcast(tree)
+    places, tree = located.spots.select("lat", "lon"), located.tree
+    shared = places.sparkSession.sparkContext.broadcast(tree)
 
     def scatter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = shared.value
@@ -193,31 +235,43 @@ def near_spots(places: DataFrame, tree: Quadtree, within_m: float, task_points:
             out.append(np.c_[la[a], lo[a], la[b], lo[b]])
         return pd.DataFrame(np.concatenate(out) if out else np.empty((0, 4)), columns=["lat_a", "lon_a", "lat_b", "lon_b"])
 
-    return held.groupBy("leaf", "i", "j").applyInPandas(join, "lat_a double, lon_a double, lat_b double, lon_b double")
+    return held.repartition(_tasks(places), "leaf", "i", "j").groupBy("leaf", "i", "j").applyInPandas(join, "lat_a double, lon_a double, lat_b double, lon_b double")
 
 
-def near_pairs(df: DataFrame, row_id: str, key: str, lat: str, lon: str, within_m: float, box: Box, leaf_points: int = 2000, task_points: int = 20_000) -> DataFrame:
+def near_pairs(df: DataFrame, row_id: str, key: str, lat: str, lon: str, within_m: float, box: Box, leaf_points: int = 2000, task_points: int = 20_000, spot_members: int = 1_000, located: Located | None = None) -> DataFrame:
     """(id_a, id_b), the smaller first: every two located rows of different ``key`` at most ``within_m`` apart.
 
     Rows without usable coordinates (null, NaN, outside ``box``) are in no pair. A null key differs from any other key
     and equals another null. Rows on one spot with one key are a single member until the last join, so copies are
-    expanded only into pairs that the result must hold. An empty table gives no pair.
+    expanded only into pairs that the result must hold. Members of a spot that has more than ``spot_members`` keys meet in
+    blocks, each pair of blocks in a task of its own. An empty table gives no pair.
     """
     rows = df.filter(box.located(lat, lon)).select(F.col(row_id).alias("row_id"), F.col(key).alias("key"), F.col(lat).alias("lat"), F.col(lon).alias("lon"))
     members = rows.select("lat", "lon", "key").distinct()
-    places = cut(spots(df, lat, lon, box))
-    tree = plan_quadtree(places, box, within_m / 2, leaf_points)
-    apart = near_spots(places, tree, within_m, task_points)
-    shared = members.groupBy("lat", "lon").agg(F.count("*").alias("n")).filter("n > 1")
+    located = located or locate(df, lat, lon, box, within_m / 2, key, leaf_points)
+    apart = near_spots(located, within_m, task_points)
+    shared = located.spots.filter("members > 1")
     same = shared.select(F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"))
     pairs = apart.unionByName(same)
     a = members.select(F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"), F.col("key").alias("key_a"))
     b = members.select(F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"), F.col("key").alias("key_b"))
+    on = [["lat_a", "lon_a"], ["lat_b", "lon_b"]]
+    crowded = located.spots.filter(F.col("members") > spot_members)
+    if not crowded.isEmpty():
+        # members by block of their spot, and every pair of spots once per pair of their blocks
+        blocks = crowded.select("lat", "lon", F.ceil(F.col("members") / spot_members).cast("int").alias("c"))
+        for side in "ab":
+            own = blocks.select(F.col("lat").alias(f"lat_{side}"), F.col("lon").alias(f"lon_{side}"), "c")
+            n = F.coalesce("c", F.lit(1))
+            pairs = pairs.join(own, on["ab".index(side)], "left").withColumn(f"block_{side}", F.explode(F.sequence(F.lit(0), n - 1))).drop("c")
+            held = (a if side == "a" else b).join(own, on["ab".index(side)], "left").withColumn(f"block_{side}", F.pmod(F.xxhash64(f"key_{side}"), n).cast("int")).drop("c")
+            a, b = (held, b) if side == "a" else (a, held)
+        on = [[*on[0], "block_a"], [*on[1], "block_b"]]
     differ = ~F.col("key_a").eqNullSafe(F.col("key_b"))
     same_spot = (F.col("lat_a") == F.col("lat_b")) & (F.col("lon_a") == F.col("lon_b"))
     # on one spot every two members meet twice; the one with the lesser key (null first) stays
     once = ~same_spot | (F.col("key_b").isNotNull() & (F.col("key_a").isNull() | (F.col("key_a") < F.col("key_b"))))
-    groups = pairs.join(a, ["lat_a", "lon_a"]).join(b, ["lat_b", "lon_b"]).filter(differ & once)
+    groups = pairs.join(a, on[0]).join(b, on[1]).filter(differ & once)
     ra = rows.select(F.col("row_id").alias("ra"), *(F.col(x).alias(f"{x}_x") for x in ("lat", "lon", "key")))
     rb = rows.select(F.col("row_id").alias("rb"), *(F.col(x).alias(f"{x}_y") for x in ("lat", "lon", "key")))
     on_a = (F.col("lat_a") == F.col("lat_x")) & (F.col("lon_a") == F.col("lon_x")) & F.col("key_a").eqNullSafe(F.col("key_x"))
@@ -225,75 +279,82 @@ def near_pairs(df: DataFrame, row_id: str, key: str, lat: str, lon: str, within_
     return groups.join(ra, on_a).join(rb, on_b).select(F.least("ra", "rb").alias("id_a"), F.greatest("ra", "rb").alias("id_b"))
 
 
-def _edges(rings: DataFrame, region: str, ring: str, seq: str, lat: str, lon: str) -> pd.DataFrame:
-    v = rings.select(F.col(region).alias("region"), F.col(ring).alias("ring"), F.col(seq).alias("seq"), F.col(lat).alias("y"), F.col(lon).alias("x")).dropna().toPandas()
-    v = v.sort_values(["region", "ring", "seq"], kind="stable").reset_index(drop=True)
-    g = v.groupby(["region", "ring"], sort=False)
-    first = g[["x", "y"]].transform("first")
-    nxt = g[["x", "y"]].shift(-1)
-    v["x2"], v["y2"] = nxt["x"].fillna(first["x"]), nxt["y"].fillna(first["y"])
-    return v
+def ring_edges(rings: DataFrame, region: str, ring: str, seq: str, lat: str, lon: str) -> DataFrame:
+    """(region, x, y, x2, y2): the edges of closed rings. Vertices with a null or NaN are left out before their neighbours
+    are joined; a ring's last vertex is joined to its first, closed or not."""
+    v = rings.select(F.col(region).cast("long").alias("region"), F.col(ring).alias("ring"), F.col(seq).alias("seq"), F.col(lon).alias("x"), F.col(lat).alias("y")).dropna().filter("NOT isnan(x) AND NOT isnan(y)")
+    w = Window.partitionBy("region", "ring").orderBy("seq", "x", "y")
+    end = lambda c: F.coalesce(F.lead(c).over(w), F.first(c).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return v.select("region", "x", "y", end("x").alias("x2"), end("y").alias("y2")).filter("y <> y2")
 
 
-def regions_of_points(df: DataFrame, row_id: str, lat: str, lon: str, box: Box, rings: DataFrame, region: str, ring: str, seq: str, ring_lat: str, ring_lon: str, max_vertices: int = 1_000_000) -> DataFrame:
+def regions_of_points(df: DataFrame, row_id: str, lat: str, lon: str, box: Box, rings: DataFrame, region: str, ring: str, seq: str, ring_lat: str, ring_lon: str, task_points: int = 20_000, leaf_points: int = 2000, located: Located | None = None) -> DataFrame:
     """(region, row_id) for every located row inside a region: inside an odd number of its rings (even-odd rule), so
     holes and several parts hold. A row in several regions gives a row each, in none no row.
 
-    Each distinct spot is tested once: an R-tree node of spots is tested against the regions whose bounds it meets,
-    then edge by edge. The boundaries are sent to all tasks, which needs them to have at most ``max_vertices`` vertices
-    (about 40 MB); beyond that the same test runs as a join on grid cells.
+    Spots are tested once each, in the leaf of the quadtree that holds them. A spot's ray goes east, so an edge of a
+    boundary is replicated to the leaves that its latitudes meet, from its region's western bound to its own eastern end;
+    nothing is broadcast but the tree. In a leaf, the nodes of a bulk-loaded R-tree of its spots meet only the edges in
+    their reach, a bounded slice at a time. A leaf of more than ``task_points`` spots is cut into parts by hash.
     """
     rows = df.filter(box.located(lat, lon)).select(F.col(row_id).alias("row_id"), F.col(lat).alias("lat"), F.col(lon).alias("lon"))
-    places = rows.select("lat", "lon").distinct()
-    if rings.count() > max_vertices:
-        held = _regions_by_cells(places, rings, region, ring, seq, ring_lat, ring_lon)
-    else:
-        edges = _edges(rings, region, ring, seq, ring_lat, ring_lon)
-        own = {k: g[["x", "y", "x2", "y2"]].to_numpy() for k, g in edges.groupby("region")}
-        shared = df.sparkSession.sparkContext.broadcast(own)
-
-        def locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            bounds = {k: (e[:, 0].min(), e[:, 0].max(), e[:, 1].min(), e[:, 1].max()) for k, e in shared.value.items()}
-            for b in batches:
-                la, lo = b["lat"].to_numpy(), b["lon"].to_numpy()
-                tree = RTree(la, lo, fan=256)
-                for s, t in zip(tree.first, tree.last):
-                    some = tree.order[s:t]
-                    x, y = lo[some], la[some]
-                    for k, (x0, x1, y0, y1) in bounds.items():
-                        if x0 > x.max() or x1 < x.min() or y0 > y.max() or y1 < y.min():
-                            continue
-                        hit = some[_inside(x, y, shared.value[k])]
-                        if len(hit):
-                            yield pd.DataFrame({"region": k, "lat": la[hit], "lon": lo[hit]})
-
-        held = places.mapInPandas(locate, "region long, lat double, lon double")
-    return held.join(rows, ["lat", "lon"]).select("region", "row_id")
-
-
-def _inside(x: np.ndarray, y: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """Even-odd test of points against all edges of a region at once."""
+    located = located or locate(df, lat, lon, box, 1.0, None, leaf_points)
+    shared = df.sparkSession.sparkContext.broadcast(located.tree)
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(leaf=shared.value.leaf(b["lat"].to_numpy(), b["lon"].to_numpy()))
+
+    def replicate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            y, y2, x, x2 = (b[c].to_numpy() for c in ("y", "y2", "x", "x2"))
+            for i in range(0, len(b), 2_000):
+                part = slice(i, i + 2_000)
+                at, leaf = shared.value.leaves_met(np.minimum(y, y2)[part], np.maximum(y, y2)[part], b["west"].to_numpy()[part], np.maximum(x, x2)[part])
+                yield b.iloc[part].iloc[at][["region", "x", "y", "x2", "y2"]].assign(leaf=leaf)
+
+    spots = located.spots.select("lat", "lon").mapInPandas(place, "lat double, lon double, leaf long")
+    edges = ring_edges(rings, region, ring, seq, ring_lat, ring_lon)
+    west = edges.groupBy("region").agg(F.min(F.least("x", "x2")).alias("west"))
+    held = edges.join(west, "region").mapInPandas(replicate, "region long, x double, y double, x2 double, y2 double, leaf long")
+    # only leaf counts, as many as the tree has leaves, come to the driver
+    large = {r["leaf"]: -(-r["n"] // task_points) for r in spots.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") > task_points).collect()}
+    parts = F.coalesce(F.element_at(F.create_map(*[F.lit(int(x)) for kv in large.items() for x in kv]), F.col("leaf").cast("int")), F.lit(1)) if large else F.lit(1)
+    spots = spots.withColumn("part", F.pmod(F.xxhash64("lat", "lon"), parts).cast("int"))
+    held = held.withColumn("part", F.explode(F.sequence(F.lit(0), (parts - 1).cast("int"))))
+
+    def test(spot: pd.DataFrame, edge: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(spot) and len(edge):
+            la, lo = spot["lat"].to_numpy(), spot["lon"].to_numpy()
+            edge = edge.sort_values("region", kind="stable")
+            e, of = edge[["x", "y", "x2", "y2"]].to_numpy(), edge["region"].to_numpy()
+            top, bottom, east = np.maximum(e[:, 1], e[:, 3]), np.minimum(e[:, 1], e[:, 3]), np.maximum(e[:, 0], e[:, 2])
+            tree = RTree(la, lo, fan=256)
+            for s, t in zip(tree.first, tree.last):
+                some = tree.order[s:t]
+                near = np.flatnonzero((top >= la[some].min()) & (bottom <= la[some].max()) & (east >= lo[some].min()))
+                for r in np.unique(of[near]):
+                    hit = some[_inside(lo[some], la[some], e[near[of[near] == r]])]
+                    if len(hit):
+                        out.append(pd.DataFrame({"region": r, "lat": la[hit], "lon": lo[hit]}))
+        return pd.concat(out) if out else pd.DataFrame({"region": np.empty(0, np.int64), "lat": np.empty(0), "lon": np.empty(0)})
+
+    n = _tasks(df)
+    at = ["leaf", "part"]
+    inside = spots.repartition(n, *at).groupBy(*at).cogroup(held.repartition(n, *at).groupBy(*at)).applyInPandas(test, "region long, lat double, lon double")
+    return inside.join(rows, ["lat", "lon"]).select("region", "row_id")
+
+
+def _inside(x: np.ndarray, y: np.ndarray, e: np.ndarray, most_cells: int = 1_000_000) -> np.ndarray:
+    """Even-odd test of points against edges of a region, as many edges at a time as keep the work in bounded memory."""
+    odd = np.zeros(len(x), bool)
     px, py = x[:, None], y[:, None]
-    x1, y1, x2, y2 = e[:, 0], e[:, 1], e[:, 2], e[:, 3]
-    spans = (y1 > py) != (y2 > py)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        at = (x2 - x1) * (py - y1) / (y2 - y1) + x1
-    return ((spans & (px < at)).sum(axis=1) % 2) == 1
-
-
-def _regions_by_cells(places: DataFrame, rings: DataFrame, region: str, ring: str, seq: str, lat: str, lon: str, cell: float = 0.1) -> DataFrame:
-    """The even-odd test without a broadcast: an edge reaches the points of its latitude bands on its left, so points
-    and edges meet by (band), edges cut by the band's bounds; crossings are counted per (region, spot)."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(region, ring).orderBy(seq)
-    v = rings.select(F.col(region).alias("region"), F.col(lon).alias("x"), F.col(lat).alias("y"), F.lead(lon).over(w).alias("x2"), F.lead(lat).over(w).alias("y2"), F.first(lon).over(w).alias("fx"), F.first(lat).over(w).alias("fy"))
-    e = v.select("region", "x", "y", F.coalesce("x2", "fx").alias("x2"), F.coalesce("y2", "fy").alias("y2")).dropna()
-    band = lambda c: F.floor(c / F.lit(cell)).cast("long")
-    e = e.withColumn("band", F.explode(F.sequence(band(F.least("y", "y2")), band(F.greatest("y", "y2")))))
-    bounds = e.groupBy("region").agg(F.min(F.least("x", "x2")).alias("x_min"), F.max(F.greatest("x", "x2")).alias("x_max"))
-    e = e.join(bounds, "region")
-    p = places.withColumn("band", band(F.col("lat")))
-    at = (F.col("x2") - F.col("x")) * (F.col("lat") - F.col("y")) / (F.col("y2") - F.col("y")) + F.col("x")
-    crossed = p.join(e, "band").filter((F.col("lon") >= F.col("x_min")) & (F.col("lon") <= F.col("x_max")) & ((F.col("y") > F.col("lat")) != (F.col("y2") > F.col("lat"))) & (F.col("lon") < at))
-    return crossed.groupBy("region", "lat", "lon").agg(F.count("*").alias("n")).filter(F.col("n") % 2 == 1).select(F.col("region").cast("long").alias("region"), "lat", "lon")
+    step = max(1, most_cells // max(1, len(x)))
+    for i in range(0, len(e), step):
+        x1, y1, x2, y2 = e[i : i + step].T
+        spans = (y1 > py) != (y2 > py)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            at = (x2 - x1) * (py - y1) / (y2 - y1) + x1
+        odd ^= ((spans & (px < at)).sum(axis=1) % 2) == 1
+    return odd

@@ -9,7 +9,7 @@ from lodegraph.functions.text import code_key
 from lodegraph.operators.intervals import buddhist_year, lineages, periods_and_gaps
 from lodegraph.operators.packed import explode_packed
 from lodegraph.operators.references import orphan_references, orphan_report, reference_rows, target_rows
-from lodegraph.operators.spatial import Box, near_pairs, regions_of_points
+from lodegraph.operators.spatial import Box, locate, near_pairs, regions_of_points
 from lodegraph.session import cut, table
 
 # The envelope of usable coordinates, the distance that counts as near, open bounds of a validity.
@@ -48,8 +48,9 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of places close by, and the province that contains each place."""
     places, rings = table(spark, sf_dir, "places"), table(spark, sf_dir, "province_rings")
-    near = near_pairs(places, "row_id", "key", "lat", "lon", NEAR_M, THAILAND)
-    inside = regions_of_points(places, "row_id", "lat", "lon", THAILAND, rings, "province_id", "ring_no", "seq", "lat", "lon")
+    located = locate(places, "lat", "lon", THAILAND, NEAR_M / 2, "key")
+    near = near_pairs(places, "row_id", "key", "lat", "lon", NEAR_M, THAILAND, located=located)
+    inside = regions_of_points(places, "row_id", "lat", "lon", THAILAND, rings, "province_id", "ring_no", "seq", "lat", "lon", located=located)
     return near.select(F.lit("near").alias("kind"), "id_a", "id_b").unionByName(inside.select(F.lit("in").alias("kind"), F.col("region").alias("id_a"), F.col("row_id").alias("id_b")))
 
 
