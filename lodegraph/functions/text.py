@@ -75,6 +75,17 @@ def ngrams(c: str | Column, least: int, most: int) -> Column:
     return F.array_distinct(reduce(lambda a, b: F.concat(a, b), [of(k) for k in range(most, least - 1, -1)]))
 
 
+def candidate_spans(c: str | Column, stopwords: tuple[str, ...], least: int = 3, most: int = 12) -> Column:
+    """What of a question may be a name, the most promising first: its words, then its runs of ``most`` down to ``least``
+    letters; stop words and blanks at the ends are left out."""
+    q = F.trim(col(c))
+    words = F.filter(F.transform(F.split(q, r"\s+"), lambda w: F.trim(w)), lambda w: F.length(w) >= least)
+    runs = F.filter(F.transform(ngrams(q, least, most), lambda x: F.trim(x)), lambda x: x != "")
+    # trimmed runs are shorter than their place tells: longest first, stably
+    by_length = F.array_sort(F.transform(F.array_distinct(runs), lambda x, i: F.struct((-F.length(x)).alias("n"), i.alias("i"), x.alias("x"))))
+    return F.filter(F.array_distinct(F.concat(words, F.transform(by_length, lambda x: x["x"]))), lambda x: ~x.isin(*stopwords))
+
+
 def longest_common_substring(a: str | Column, b: str | Column) -> Column:
     """Length of the longest common substring by bisection-free enumeration of the shorter side's substrings.
     Meant for names; the cost is quadratic in the length of ``a``."""

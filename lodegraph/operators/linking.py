@@ -1,25 +1,55 @@
-"""Questions linked to graph nodes: known names found in the text, names scored by shared runs of letters, and a fallback
-by containment, merged to a few seeds per question."""
+"""Questions linked to graph nodes: names found in the text, names that share a run of letters with what is left of it,
+and a fallback by containment, merged to a few seeds per question."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodegraph.functions.text import dice, longest_common_substring, thai_len
-from lodegraph.operators.rulings import find_terms
+from lodegraph.functions.text import candidate_spans, dice, thai_len
+from lodegraph.operators.rulings import find_terms, runs_of
 from lodegraph.session import cut
 
 # Punctuation that separates words of a question.
-_PUNCTUATION = r"[\"'“”‘’()\[\]{}<>?!.,;:|/\\]+"
+_PUNCTUATION = r"[\s.,!?;:()\[\]\"'`‘’“”]+"
+
+# Words that never name anything on their own.
+STOPWORDS = (
+    "ฮาลาล", "ร้าน", "ร้านอาหาร", "ใกล้", "ใน", "ที่", "มี", "ไหน", "อะไร", "จังหวัด", "อยู่", "คือ", "ของ", "และ", "หรือ", "กับ", "ให้", "ได้", "เป็น", "ไม่", "จาก", "แห่ง", "บ้าง", "ใด", "กี่", "ชื่อ", "ประเภท", "แบบ", "ทั้งหมด", "เดียวกัน",
+    "อะไรบ้าง", "ที่ไหน", "เท่าไหร่", "อย่างไร", "ทำไม", "ภาค", "อำเภอ", "เขต",
+)
+# Names too general to be meant.
+GENERIC_NAMES = ("อื่นๆ", "อื่น ๆ", "other", "others", "ทั่วไป", "regional", "yes", "no", "only", "เมือง", "ทารก", "อาหาร", "นม", "ปลา", "ไข่", "แป้ง")
+# Shared words that prove nothing.
+WEAK_OVERLAPS = (
+    "จังหวัด", "อำเภอ", "ตำบล", "ที่พัก", "ร้านอาหาร", "สถานที่", "ประเทศไทย", "แห่งประเทศไทย", "กลางจังหวัด", "ในจังหวัด", "มัสยิด", "โรงแรม", "ห้องพัก", "ร้านค้า", "ร้าน", "ตลาด", "วัด", "โรงเรียน", "น้ำตก", "สินค้า", "ผลิตภัณฑ์", "อาหาร",
+)
+# What must stand before the names of a label, and before names shorter than SHORT_NAME of any other.
+REQUIRED_PREFIX = {"Region": ("ภาค",), "District": ("อำเภอ", "เขต", "อ.")}
+SHORT_PREFIX = ("จังหวัด", "ภาค", "อำเภอ", "เขต", "ประเภท", "แบรนด์", "ยี่ห้อ")
+SHORT_NAME = 4
+# The least score of a similar name, the share of the best score that a seed must have, the spans that the
+# last pass looks for and the names that it takes of each.
+LEAST_SCORE, FLOOR, MOST_SPANS, MOST_OF_SPAN = 0.45, 0.75, 12, 10
+
+#: The shortest run of letters by which names are similar. A shared run is measured on a ladder of lengths: every length up
+#: to twelve, then steps of a fifth.
+LEAST_RUN = 4
+
+
+def ladder(longest: int) -> list[int]:
+    out = list(range(LEAST_RUN, 13))
+    while out[-1] < longest:
+        out.append(out[-1] * 6 // 5)
+    return [n for n in out if n <= longest]
+
+
+# runs within a word that proves nothing are left out of the measure
+_WEAK_RUNS = sorted({w[i:j] for w in (*STOPWORDS, *WEAK_OVERLAPS) for i in range(len(w)) for j in range(i + LEAST_RUN, len(w) + 1)})
 
 
 def clean_question(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(c, _PUNCTUATION, " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), _PUNCTUATION, " "))
 
 
 def without_shadowed(found: DataFrame) -> DataFrame:
@@ -30,135 +60,89 @@ def without_shadowed(found: DataFrame) -> DataFrame:
     return a.join(b, inside, "left_anti")
 
 
-def gazetteer_hits(questions: DataFrame, nodes: DataFrame, least: int = 4) -> DataFrame:
-    """Names of nodes that stand in a question as they are, at least ``least`` letters long without marks; a score of 1."""
-    names = nodes.filter(thai_len("name") >= least).select("node_id", "name")
-    hits = find_terms(questions, names, "question_id", "question", "node_id", "name").select(F.col("text_id").alias("question_id"), F.col("term_id").alias("node_id"))
-    named = hits.join(nodes.select("node_id", "label", "name"), "node_id")
-    return without_shadowed(named).select("question_id", "node_id", "label", "name", F.lit(1.0).alias("score"), F.lit("name").alias("matched_by"))
+def _one_per_name(nodes: DataFrame, *by: str) -> DataFrame:
+    """The node of the least id of every name: a question has one seed per name."""
+    low = F.lower("name").alias("low")
+    return nodes.filter("name IS NOT NULL").groupBy(*by, low).agg(F.min("node_id").alias("node_id"), F.min_by("name", "node_id").alias("name"), *([] if by else [F.min_by("label", "node_id").alias("label")]))
 
 
-# Names per block and questions per chunk that meet in one task.
-_BLOCK, _CHUNK = 50_000, 2_000
+def required_terms(name: Column, label: Column) -> Column:
+    """What must stand in a question for a name to be meant: the name; for labels whose names are ordinary words, and for
+    short names, the name after one of their prefixes."""
+    after = lambda prefixes: F.array(*(F.concat(F.lit(p), name) for p in prefixes))
+    out = F.when(thai_len(name) < SHORT_NAME, after(SHORT_PREFIX)).otherwise(F.array(name))
+    for k, prefixes in REQUIRED_PREFIX.items():
+        out = F.when(label == k, after(prefixes)).otherwise(out)
+    return out
 
-# The shortest run of letters that the containment pass goes by, and runs that say nothing.
-LEAST_RUN = 3
-STOPWORDS = (
-    "ฮาลาล", "ร้าน", "ร้านอาหาร", "ใกล้", "ใน", "ที่", "มี", "ไหน", "อะไร", "จังหวัด", "อยู่", "คือ", "ของ", "และ", "หรือ", "กับ", "ให้", "ได้", "เป็น", "ไม่", "จาก", "แห่ง", "บ้าง", "ใด", "กี่", "ชื่อ", "ประเภท", "แบบ", "ทั้งหมด", "เดียวกัน",
-    "อะไรบ้าง", "ที่ไหน", "เท่าไหร่", "อย่างไร", "ทำไม", "ภาค", "อำเภอ", "เขต",
-)
 
+def gazetteer_hits(questions: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Names of nodes that stand in a question as they are, where required after a prefix; a score of 1."""
+    names = _one_per_name(nodes, "label").filter((F.length("name") >= 2) & ~F.col("name").isin(*STOPWORDS) & ~F.trim("low").isin(*GENERIC_NAMES))
+    terms = names.select("node_id", F.explode(required_terms(F.col("name"), F.col("label"))).alias("term"))
+    hits = find_terms(questions, terms, "question_id", "question", "node_id", "term").select(F.col("text_id").alias("question_id"), F.col("term_id").alias("node_id")).distinct()
+    named = hits.join(names, "node_id")
+    return without_shadowed(named).select("question_id", "node_id", "label", "name", F.lit(1.0).alias("score"), F.lit("name").alias("matched_by"))
 
-def _longest_run(name: str, q: str, most: int) -> int:
-    """Letters of the longest run of ``name`` in ``q`` that is no stop word, at least LEAST_RUN and at most ``most``; else 0."""
-    for k in range(min(len(name), most), LEAST_RUN - 1, -1):
-        for i in range(len(name) - k + 1):
-            x = name[i : i + k]
-            if x in q and x.strip() not in STOPWORDS and len(x.strip()) >= LEAST_RUN:
-                return k
-    return 0
-
-
-def _met(questions: DataFrame, names: DataFrame, gram: int, pick: Callable, schema: str) -> DataFrame:
-    """``pick`` over every question (question_id, q) and the number of different runs of ``gram`` letters that it shares
-    with each name (node_id, low), all runs counted.
-
-    Names in blocks meet questions in chunks, every block every chunk, so a run that many names have is a longer list of
-    one block and never a task of its own, and no pair of question and name is shuffled but those picked."""
-    n_blocks, n_chunks = (max(1, -(-df.count() // size)) for df, size in ((names, _BLOCK), (questions, _CHUNK)))
-    every = lambda n, c: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(c)
-    n = names.withColumn("block", F.pmod(F.xxhash64("node_id"), F.lit(n_blocks)).cast("int")).select("*", every(n_chunks, "chunk"))
-    q = questions.withColumn("chunk", F.pmod(F.xxhash64("question_id"), F.lit(n_chunks)).cast("int")).select("*", every(n_blocks, "block"))
-    columns = [x.split()[0] for x in schema.split(", ")]
-
-    def meet(asked: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values("node_id", kind="stable").reset_index(drop=True)
-        runs = [{t[i : i + gram] for i in range(len(t) - gram + 1)} for t in asked["q"]]
-        wanted, lists = set().union(*runs), {}
-        for k, low in enumerate(block["low"]):
-            for g in {low[i : i + gram] for i in range(len(low) - gram + 1)} & wanted:
-                lists.setdefault(g, []).append(k)
-        lists = {g: np.array(x, np.int32) for g, x in lists.items()}
-        out = []
-        for qid, t, own in zip(asked["question_id"], asked["q"], runs):
-            some = [lists[g] for g in own if g in lists]
-            if some:
-                out += [(qid, *x) for x in pick(t, np.bincount(np.concatenate(some), minlength=len(block)), block)]
-        return pd.DataFrame(out, columns=columns)
-
-    return q.groupBy("chunk", "block").cogroup(n.groupBy("chunk", "block")).applyInPandas(meet, schema)
-
-
-def similar_hits(questions: DataFrame, nodes: DataFrame, gram: int = 5, most: int = 20, least_score: float = 0.5) -> DataFrame:
-    """Names that share runs of ``gram`` letters with a question: the ``most`` nodes with most shared runs per question
-    (a top-k over all runs and all nodes, ties by node) are scored by the Dice measure of their longest common run."""
-    q = questions.select("question_id", F.lower("question").alias("q")).filter(F.length("q") >= gram)
-    n = nodes.select("node_id", "label", "name", F.lower("name").alias("low")).filter(F.length("low") >= gram)
-
-    def first(_: str, counts: np.ndarray, block: pd.DataFrame) -> list[tuple]:
-        some = np.flatnonzero(counts)
-        if len(some) > most:
-            some = some[counts[some] >= np.partition(counts[some], -most)[-most]]
-        best = some[np.argsort(-counts[some], kind="stable")][:most]
-        return list(zip(block["node_id"].iloc[best], counts[best].tolist()))
-
-    shared = _met(q, n.select("node_id", "low"), gram, first, "question_id string, node_id string, n long")
-    w = Window.partitionBy("question_id").orderBy(F.desc("n"), "node_id")
-    best = shared.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= most).join(n, "node_id").join(q, "question_id")
-    run = longest_common_substring("low", "q")
-    return best.withColumn("score", F.round(dice(run, F.length("low")), 4)).filter(F.col("score") >= least_score).select("question_id", "node_id", "label", "name", "score", F.lit("similar").alias("matched_by"))
-
-
-def contained_hits(questions: DataFrame, nodes: DataFrame, limit: int = 5) -> DataFrame:
-    """Names that share a run of LEAST_RUN letters or more with a question: the ``limit`` best names by the Dice measure
-    of the longest such run. Names are compared from the highest bound down (a name with c shared runs has no common run
-    longer than c + LEAST_RUN - 1), until no bound reaches the last of the best, so none is lost."""
-    q = questions.select("question_id", F.lower("question").alias("q")).filter(F.length("q") >= LEAST_RUN)
-    n = nodes.select("node_id", "label", "name", F.lower("name").alias("low")).filter(F.length("low") >= LEAST_RUN)
-
-    def best(t: str, counts: np.ndarray, block: pd.DataFrame) -> list[tuple]:
-        ids, lows = block["node_id"].to_numpy(), block["low"].to_numpy()
-        some = np.flatnonzero(counts)
-        size = block["low"].str.len().to_numpy()[some]
-        # a run may repeat within a name: then its number of different runs bounds nothing
-        run = np.minimum(np.where(block["repeats"].to_numpy()[some], size, counts[some] + LEAST_RUN - 1), size)
-        bound = 2.0 * run / (run + size)
-        found: dict[str, tuple] = {}
-        last = 0.0
-        for j in np.argsort(-bound, kind="stable"):
-            if bound[j] + 1e-4 < last:
-                break
-            k = some[j]
-            if lows[k] in found:
-                continue  # an earlier node of the same name has the same bound and the lesser id
-            if length := _longest_run(lows[k], t, int(run[j])):
-                score = np.floor(2.0 * length / (length + len(lows[k])) * 1e4 + 0.5) / 1e4
-                found[lows[k]] = (-score, -len(lows[k]), ids[k], length)
-                if len(found) >= limit:
-                    last = -sorted(found.values())[limit - 1][0]
-        return [(x[2], x[3]) for x in sorted(found.values())[:limit]]
-
-    # a run of equal letters or of one pattern has fewer different runs than places
-    grams = F.transform(F.sequence(F.lit(1), F.length("low") - LEAST_RUN + 1), lambda i: F.substring("low", i, F.lit(LEAST_RUN)))
-    named = n.select("node_id", "low", (F.size(F.array_distinct(grams)) < F.size(grams)).alias("repeats"))
-    shared = _met(q, named, LEAST_RUN, best, "question_id string, node_id string, run int")
-    scored = shared.join(n, "node_id").withColumn("score", F.round(dice(F.col("run"), F.length("low")), 4))
-    return scored.select("question_id", "node_id", "label", "name", "score", F.lit("contains").alias("matched_by"))
-
-
-def seeds(questions: DataFrame, nodes: DataFrame, limit: int = 5, floor: float = 0.75) -> DataFrame:
+
+def _without_names(questions: DataFrame, exact: DataFrame) -> DataFrame:
+    """Questions in lower case with the names found in them blanked out, longer ones first."""
+    names = exact.select("question_id", F.lower("name").alias("low")).distinct().groupBy("question_id").agg(F.sort_array(F.collect_list(F.struct(F.length("low").alias("n"), "low")), False).alias("names"))
+    left = F.aggregate(F.coalesce("names", F.array().cast("array<struct<n:int,low:string>>")), F.lower("question"), lambda q, x: F.replace(q, x["low"], F.lit("\n")))
+    return questions.join(names, "question_id", "left").select("question_id", left.alias("q"))
+
+
+def similar_hits(questions: DataFrame, nodes: DataFrame, limit: int = 5, least_score: float = LEAST_SCORE) -> DataFrame:
+    """The ``limit`` best names per question by the Dice measure of the longest run of letters that they share with it, none
+    below ``least_score``. ``questions`` has question_id and q, in lower case.
+
+    An inverted index of runs: of every run only the ``limit`` shortest names that hold it are kept, whatever their number.
+    A longer name that shares the run scores less than all of those, so none of the best is lost, and a run that a third of
+    all names have is a short list. Runs too short to lift a name over ``least_score`` are not in the index.
+    """
+    weak = {*STOPWORDS, *WEAK_OVERLAPS, *GENERIC_NAMES}
+    names = cut(_one_per_name(nodes.filter(~F.col("label").isin(*REQUIRED_PREFIX))).filter(~F.trim("low").isin(*sorted(weak)) & (F.length("low") >= LEAST_RUN)))
+    longest = names.agg(F.max(F.length("low")).alias("n")).first()["n"]
+    if longest is None:
+        return questions.select("question_id", *(F.lit(None).cast("string").alias(c) for c in ("node_id", "label", "name")), F.lit(0.0).alias("score"), F.lit("similar").alias("matched_by")).limit(0)
+    sizes = ladder(longest)
+    none = F.array().cast("array<string>")
+    # a run of n letters in a name of m scores 2n / (n + m)
+    enough = lambda n: (F.length("low") >= n) & (F.round(dice(F.lit(float(n)), F.length("low")), 4) >= least_score)
+    own = names.select("low", "node_id", F.explode(F.flatten(F.array(*(F.when(enough(n), runs_of(F.col("low"), n)).otherwise(none) for n in sizes)))).alias("run"))
+    short = Window.partitionBy("run").orderBy(F.length("low"), "node_id")
+    index = own.filter(~F.trim("run").isin(_WEAK_RUNS)).withColumn("i", F.row_number().over(short)).filter(F.col("i") <= limit)
+    asked = questions.select("question_id", F.explode(F.array_distinct(F.flatten(F.array(*(F.when(F.length("q") >= n, runs_of(F.col("q"), n)).otherwise(none) for n in sizes))))).alias("run"))
+    longest_run = asked.join(index, "run").groupBy("question_id", "low").agg(F.max(F.length("run")).alias("n"))
+    scored = longest_run.withColumn("score", F.round(dice(F.col("n"), F.length("low")), 4))
+    w = Window.partitionBy("question_id").orderBy(F.desc("score"), F.length("low"), "node_id")
+    best = scored.join(names, "low").withColumn("i", F.row_number().over(w)).filter(F.col("i") <= limit)
+    return best.select("question_id", "node_id", "label", "name", "score", F.lit("similar").alias("matched_by"))
+
+
+def contained_hits(questions: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Names that hold one of the first MOST_SPANS candidate spans of a question; of every span the MOST_OF_SPAN shortest
+    names, whatever their number."""
+    spans = questions.select("question_id", F.explode(F.slice(candidate_spans(F.col("question"), STOPWORDS), 1, MOST_SPANS)).alias("span"), "question").select("question_id", F.lower("span").alias("span")).distinct()
+    spans = cut(spans)
+    names = _one_per_name(nodes)
+    held = find_terms(names, spans.select("span").distinct().select("span", F.col("span").alias("term")), "node_id", "low", "span", "term").select(F.col("text_id").alias("node_id"), F.col("term_id").alias("span"))
+    w = Window.partitionBy("span").orderBy(F.length("low"), "node_id")
+    first = held.join(names, "node_id").withColumn("i", F.row_number().over(w)).filter(F.col("i") <= MOST_OF_SPAN)
+    scored = spans.join(first, "span").withColumn("score", F.round(dice(F.length("span"), F.length("low")), 4))
+    return scored.groupBy("question_id", "node_id", "label", "name").agg(F.max("score").alias("score")).withColumn("matched_by", F.lit("contains"))
+
+
+def seeds(questions: DataFrame, nodes: DataFrame, limit: int = 5, floor: float = FLOOR) -> DataFrame:
     """(question_id, node_id, label, name, score, matched_by, rank): per question at most ``limit`` nodes, one per name,
-    none below ``floor`` of the best score. Exact and similar names are sought for every question, names that only share
-    a part with it for questions without either. Similar names that lie inside an exact one are that one's."""
+    none below ``floor`` of the best score. Exact names are sought in every question, similar ones in what exact names leave
+    of it, names that only hold a part of it where neither is found. Null and blank questions have no seed."""
     exact = cut(gazetteer_hits(questions, nodes))
-    similar = similar_hits(questions, nodes).alias("a")
-    longer = exact.select("question_id", F.col("name").alias("longer")).distinct().alias("b")
-    inside = (F.col("a.question_id") == F.col("b.question_id")) & (F.lower("a.name") != F.lower("b.longer")) & F.contains(F.lower("b.longer"), F.lower("a.name"))
-    hits = cut(exact.unionByName(similar.join(longer, inside, "left_anti")))
+    hits = cut(exact.unionByName(similar_hits(_without_names(questions, exact), nodes, limit)))
     rest = cut(questions.join(hits.select("question_id").distinct(), "question_id", "left_anti"))
-    every = hits.unionByName(contained_hits(rest, nodes, limit))
+    every = hits.unionByName(contained_hits(rest, nodes))
     by_name = Window.partitionBy("question_id", F.lower("name")).orderBy(F.desc("score"), "node_id", "matched_by")
     one = every.withColumn("i", F.row_number().over(by_name)).filter("i = 1").drop("i")
     best = F.max("score").over(Window.partitionBy("question_id"))
-    w = Window.partitionBy("question_id").orderBy(F.desc("score"), F.desc(F.length("name")), "node_id")
+    w = Window.partitionBy("question_id").orderBy(F.desc("score"), F.length("name"), "node_id")
     return one.withColumn("best", best).filter(F.col("score") >= floor * F.col("best")).drop("best").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodegraph.functions.text import clean
 from lodegraph.operators.packed import packed_values
+from lodegraph.session import cut
 
 # Rulings from the most to the least severe.
 SEVERITY = ("haram", "mashbooh", "halal")
@@ -68,27 +69,42 @@ def invalid_rulings(df: DataFrame, required: tuple[str, ...] = ("ingredient_th",
     return df.select("row_id", F.explode(F.filter(F.array(*rules), lambda x: x.isNotNull())).alias("problem"))
 
 
+#: Lengths of the runs of letters by which terms are looked up: a term goes by the longest that it holds.
+RUNS = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64)
+
+
+def runs_of(text: Column, n: int) -> Column:
+    """The distinct runs of ``n`` letters of a text, in one linear pass."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+
+
 def find_terms(texts: DataFrame, terms: DataFrame, text_id: str, text: str, term_id: str, term: str) -> DataFrame:
     """(text_id, term_id, term): every term that occurs in a text, case ignored, once.
 
-    No nested loop: texts are cut into runs as long as a term's first letters (the least length among the terms, at most
-    8, one pass per text), which meet the lengths that terms with those letters have; the text of each such length then
-    meets the terms by an equi-join on the whole term. So first letters that many terms share cost a text no more than
-    their few lengths. Null and empty texts and terms match nothing.
+    No nested loop: a term is known by its rarest run of letters, rarest among the terms, as long as RUNS has it. Texts are
+    cut into runs of those lengths, which meet the terms by an equi-join without the texts; the pairs that share a run meet
+    the text again, by its id, and are compared in full. So a beginning that many terms share costs nothing, and what moves
+    is linear in the texts. Null and empty texts and terms match nothing; of rows with one id, any may hold the term.
     """
-    t = terms.select(F.col(term_id).alias("term_id"), F.lower(F.col(term)).alias("term")).filter("term <> ''").distinct()
-    least = t.agg(F.min(F.length("term")).alias("m")).first()["m"]
-    if least is None:
-        return texts.select(F.col(text_id).alias("text_id")).join(t, F.lit(False), "inner")
-    q = min(8, least)
-    d = texts.select(F.col(text_id).alias("text_id"), F.lower(F.col(text)).alias("txt")).filter(F.length("txt") >= q)
-    at = F.explode(F.sequence(F.lit(1), F.length("txt") - q + 1)).alias("at")
-    longest = F.lit(t.agg(F.max(F.length("term")).alias("m")).first()["m"])
-    # what follows a place, up to the longest term, goes along; not the whole text
-    grams = d.select("text_id", "txt", at).select("text_id", F.substring("txt", F.col("at"), F.lit(q)).alias("gram"), F.substring("txt", F.col("at"), longest).alias("rest"))
-    lengths = t.groupBy(F.substring("term", 1, q).alias("gram")).agg(F.collect_set(F.length("term")).alias("lengths"))
-    pieces = grams.join(lengths, "gram").select("text_id", "rest", F.explode("lengths").alias("n")).filter(F.length("rest") >= F.col("n")).select("text_id", F.substring("rest", F.lit(1), F.col("n")).alias("term")).distinct()
-    return pieces.join(t, "term").select("text_id", "term_id", "term").distinct()
+    t = cut(terms.select(F.col(term_id).alias("term_id"), F.lower(F.col(term)).alias("term")).filter("term <> ''").distinct())
+    sizes = sorted(r["n"] for r in t.select(_longest_run_within(F.length("term")).alias("n")).distinct().collect())
+    d = texts.select(F.col(text_id).alias("text_id"), F.lower(F.col(text)).alias("txt"))
+    if not sizes:
+        return d.select("text_id").join(t, F.lit(False), "inner")
+    per_size = lambda c, keep: F.flatten(F.array(*(F.when(keep(n), runs_of(F.col(c), n)).otherwise(F.array().cast("array<string>")) for n in sizes)))
+    held = t.select("term").distinct().select("term", F.explode(per_size("term", lambda n: _longest_run_within(F.length("term")) == n)).alias("run"))
+    shared = held.groupBy("run").agg(F.count("*").alias("n"))
+    known = held.join(shared, "run").groupBy("term").agg(F.min(F.struct("n", "run"))["run"].alias("run"))
+    cuts = d.select("text_id", F.explode(per_size("txt", lambda n: F.length("txt") >= n)).alias("run"))
+    met = cuts.join(known, "run").select("text_id", "term").distinct()
+    return met.join(d, "text_id").filter(F.contains("txt", "term")).select("text_id", "term").distinct().join(t, "term").select("text_id", "term_id", "term")
+
+
+def _longest_run_within(length: Column) -> Column:
+    out = F.lit(None).cast("int")
+    for n in RUNS:
+        out = F.when(length >= n, n).otherwise(out)
+    return out
 
 
 def longest_term(found: DataFrame) -> DataFrame:
