@@ -106,17 +106,23 @@ def similar_hits(questions: DataFrame, nodes: DataFrame, limit: int = 5, least_s
     if longest is None:
         return questions.select("question_id", *(F.lit(None).cast("string").alias(c) for c in ("node_id", "label", "name")), F.lit(0.0).alias("score"), F.lit("similar").alias("matched_by")).limit(0)
     sizes = ladder(longest)
-    none = F.array().cast("array<string>")
+    size = F.explode(F.array(*map(F.lit, sizes))).alias("n")
+
+    def runs(df: DataFrame, c: str) -> DataFrame:
+        """Every run of n letters as a hash with its length: what is shuffled and sorted is narrow."""
+        cut_up = df.withColumn("run", F.explode(F.regexp_extract_all(F.col(c), F.format_string("(?s)(?=(.{%d}))", "n"), F.lit(1)))).drop(c)
+        return cut_up.filter(~F.trim("run").isin(_WEAK_RUNS)).withColumn("h", F.xxhash64("run")).drop("run")
+
     # a run of n letters in a name of m scores 2n / (n + m)
-    enough = lambda n: (F.length("low") >= n) & (F.round(dice(F.lit(float(n)), F.length("low")), 4) >= least_score)
-    own = names.select("low", "node_id", F.explode(F.flatten(F.array(*(F.when(enough(n), runs_of(F.col("low"), n)).otherwise(none) for n in sizes)))).alias("run"))
-    short = Window.partitionBy("run").orderBy(F.length("low"), "node_id")
-    index = own.filter(~F.trim("run").isin(_WEAK_RUNS)).withColumn("i", F.row_number().over(short)).filter(F.col("i") <= limit)
-    asked = questions.select("question_id", F.explode(F.array_distinct(F.flatten(F.array(*(F.when(F.length("q") >= n, runs_of(F.col("q"), n)).otherwise(none) for n in sizes))))).alias("run"))
-    longest_run = asked.join(index, "run").groupBy("question_id", "low").agg(F.max(F.length("run")).alias("n"))
-    scored = longest_run.withColumn("score", F.round(dice(F.col("n"), F.length("low")), 4))
-    w = Window.partitionBy("question_id").orderBy(F.desc("score"), F.length("low"), "node_id")
-    best = scored.join(names, "low").withColumn("i", F.row_number().over(w)).filter(F.col("i") <= limit)
+    sized = names.select("node_id", "low", F.length("low").alias("m"), size).filter(F.col("n") <= F.col("m")).filter(F.round(dice(F.col("n"), F.col("m")), 4) >= least_score)
+    own = runs(sized, "low")
+    short = Window.partitionBy("h", "n").orderBy("m", "node_id")
+    index = own.distinct().withColumn("i", F.row_number().over(short)).filter(F.col("i") <= limit).drop("i")
+    asked = runs(questions.select("question_id", "q", size).filter(F.length("q") >= F.col("n")), "q")
+    longest_run = asked.join(index, ["h", "n"]).groupBy("question_id", "node_id").agg(F.max("n").alias("n"), F.first("m").alias("m"))
+    scored = longest_run.withColumn("score", F.round(dice(F.col("n"), F.col("m")), 4))
+    w = Window.partitionBy("question_id").orderBy(F.desc("score"), "m", "node_id")
+    best = scored.withColumn("i", F.row_number().over(w)).filter(F.col("i") <= limit).join(names, "node_id")
     return best.select("question_id", "node_id", "label", "name", "score", F.lit("similar").alias("matched_by"))
 
 
@@ -137,6 +143,7 @@ def seeds(questions: DataFrame, nodes: DataFrame, limit: int = 5, floor: float =
     """(question_id, node_id, label, name, score, matched_by, rank): per question at most ``limit`` nodes, one per name,
     none below ``floor`` of the best score. Exact names are sought in every question, similar ones in what exact names leave
     of it, names that only hold a part of it where neither is found. Null and blank questions have no seed."""
+    nodes, questions = cut(nodes.select("node_id", "label", "name")), cut(questions.select("question_id", "question"))
     exact = cut(gazetteer_hits(questions, nodes))
     hits = cut(exact.unionByName(similar_hits(_without_names(questions, exact), nodes, limit)))
     rest = cut(questions.join(hits.select("question_id").distinct(), "question_id", "left_anti"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,30 +76,64 @@ RUNS = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64)
 
 
 def runs_of(text: Column, n: int) -> Column:
-    """The distinct runs of ``n`` letters of a text, in one linear pass."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+    """The runs of ``n`` letters of a text, in one linear pass."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+
+
+#: Terms up to which their automaton is broadcast to the texts; beyond that texts and terms meet by shuffled runs.
+MOST_BROADCAST = 100_000
 
 
-def find_terms(texts: DataFrame, terms: DataFrame, text_id: str, text: str, term_id: str, term: str) -> DataFrame:
+def find_terms(texts: DataFrame, terms: DataFrame, text_id: str, text: str, term_id: str, term: str, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """(text_id, term_id, term): every term that occurs in a text, case ignored, once.
 
-    No nested loop: a term is known by its rarest run of letters, rarest among the terms, as long as RUNS has it. Texts are
-    cut into runs of those lengths, which meet the terms by an equi-join without the texts; the pairs that share a run meet
-    the text again, by its id, and are compared in full. So a beginning that many terms share costs nothing, and what moves
-    is linear in the texts. Null and empty texts and terms match nothing; of rows with one id, any may hold the term.
+    No nested loop. Up to ``most_broadcast`` terms go to all tasks, which read every text once, letter by letter, with an
+    automaton of all terms. More terms are met by their rarest runs of letters, see _terms_by_runs. Both give the same. Null
+    and empty texts and terms match nothing; of rows with one id, any may hold the term.
     """
     t = cut(terms.select(F.col(term_id).alias("term_id"), F.lower(F.col(term)).alias("term")).filter("term <> ''").distinct())
-    sizes = sorted(r["n"] for r in t.select(_longest_run_within(F.length("term")).alias("n")).distinct().collect())
-    d = texts.select(F.col(text_id).alias("text_id"), F.lower(F.col(text)).alias("txt"))
-    if not sizes:
-        return d.select("text_id").join(t, F.lit(False), "inner")
+    d = texts.select(F.col(text_id).alias("text_id"), F.lower(F.col(text)).alias("txt")).filter("text_id IS NOT NULL AND txt <> ''")
+    words = t.select("term").distinct()
+    small = words.count() <= most_broadcast
+    found = _terms_by_automaton(d, [r["term"] for r in words.collect()]) if small else _terms_by_runs(d, words)
+    return found.distinct().join(F.broadcast(t) if small else t, "term").select("text_id", "term_id", "term")
+
+
+def _terms_by_automaton(d: DataFrame, words: list[str]) -> DataFrame:
+    import pyarrow as pa
+
+    shared = d.sparkSession.sparkContext.broadcast(words)
+    kind = d.schema["text_id"].dataType.simpleString()
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for i, w in enumerate(shared.value):
+            automaton.add_word(w, i)
+        if len(automaton):
+            automaton.make_automaton()
+        for b in batches:
+            hits = [{i for _, i in automaton.iter(x)} if len(automaton) else () for x in b.column(1).to_pylist()]
+            at = pa.array([k for k, own in enumerate(hits) for _ in own], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array([shared.value[i] for own in hits for i in own], pa.string())], ["text_id", "term"])
+
+    return d.mapInArrow(read, f"text_id {kind}, term string")
+
+
+def _terms_by_runs(d: DataFrame, words: DataFrame) -> DataFrame:
+    """A term is known by its rarest run of letters, rarest among the terms, as long as RUNS has it. Texts are cut into runs
+    of those lengths, which meet the terms by an equi-join without the texts; the pairs that share a run meet the text again,
+    by its id, and are compared in full. So a beginning that many terms share costs nothing, and what moves is linear in the
+    texts."""
+    sizes = sorted(r["n"] for r in words.select(_longest_run_within(F.length("term")).alias("n")).distinct().collect())
     per_size = lambda c, keep: F.flatten(F.array(*(F.when(keep(n), runs_of(F.col(c), n)).otherwise(F.array().cast("array<string>")) for n in sizes)))
-    held = t.select("term").distinct().select("term", F.explode(per_size("term", lambda n: _longest_run_within(F.length("term")) == n)).alias("run"))
+    held = words.select("term", F.explode(per_size("term", lambda n: _longest_run_within(F.length("term")) == n)).alias("run")).distinct()
     shared = held.groupBy("run").agg(F.count("*").alias("n"))
     known = held.join(shared, "run").groupBy("term").agg(F.min(F.struct("n", "run"))["run"].alias("run"))
     cuts = d.select("text_id", F.explode(per_size("txt", lambda n: F.length("txt") >= n)).alias("run"))
     met = cuts.join(known, "run").select("text_id", "term").distinct()
-    return met.join(d, "text_id").filter(F.contains("txt", "term")).select("text_id", "term").distinct().join(t, "term").select("text_id", "term_id", "term")
+    return met.join(d, "text_id").filter(F.contains("txt", "term")).select("text_id", "term")
 
 
 def _longest_run_within(length: Column) -> Column:

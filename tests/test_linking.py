@@ -105,7 +105,9 @@ def test_terms_against_brute_force(spark):
     word = lambda n: "".join(r.choice("abกข ") for _ in range(n))
     texts = [(i, word(r.randrange(0, 60))) for i in range(60)] + [(90, None), (91, "ab" * 5000)]
     terms = [(j, word(r.randrange(0, 20))) for j in range(150)] + [(900, None), (901, "A" * 70), (902, "ab" * 40)]
-    got = find_terms(spark.createDataFrame(texts, "i int, t string"), spark.createDataFrame(terms, "j int, w string"), "i", "t", "j", "w")
-    want = {(i, j, w.lower()) for i, t in texts for j, w in terms if t and w and w.lower() in t.lower()}
-    rows = [tuple(x) for x in got.collect()]
-    assert len(rows) == len(set(rows)) and set(rows) == want
+    t, w = spark.createDataFrame(texts, "i int, t string"), spark.createDataFrame(terms, "j int, w string")
+    want = {(i, j, x.lower()) for i, y in texts for j, x in terms if y and x and x.lower() in y.lower()}
+    for most in (0, 1000):
+        rows = [tuple(x) for x in find_terms(t, w, "i", "t", "j", "w", most).collect()]
+        assert len(rows) == len(set(rows)) and set(rows) == want
+        assert find_terms(t, w.limit(0), "i", "t", "j", "w", most).count() == 0
