@@ -18,13 +18,19 @@ from lodegraph.session import cut
 
 @dataclass(frozen=True)
 class EdgeSpec:
-    """An edge from each row to the attribute node named in a column; with a delimiter the column holds several."""
+    """An edge from each row to the attribute node named in a column; with a delimiter the column holds several.
+
+    Where names repeat, ``within`` is the column that tells equal ones apart: the attribute node is keyed by both, rows that
+    lack either have no edge, and ``within_rel`` leads from the attribute node to the node of ``within_label`` it lies in."""
 
     column: str
     rel: str
     target_label: str
     delimiter: str | None = None
     cap: int = 4
+    within: str | None = None
+    within_rel: str | None = None
+    within_label: str | None = None
 
 
 @dataclass(frozen=True)
@@ -51,8 +57,10 @@ def node_id(label: str | Column, key: Column) -> Column:
 
 
 def first_per_key(df: DataFrame, key: Column, *order: Column) -> DataFrame:
-    """The first row of every key in the given order; ties are broken by the row's hash. Null keys have no row."""
-    w = Window.partitionBy(key).orderBy(*order)
+    """The first row of every key in the given order; ties are broken by the whole row's text, so the partitioning never
+    decides, and rows equal in everything are one. Null keys have no row."""
+    # to_json takes rows of any columns, maps included
+    w = Window.partitionBy(key).orderBy(*order, F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}))
     return df.filter(key.isNotNull()).withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")
 
 
@@ -77,32 +85,41 @@ def node_text(label: str, name: Column, *parts: Column) -> Column:
 
 
 def build_edges(df: DataFrame, spec: SourceSpec) -> DataFrame:
-    """Distinct edges of all of a source's edge columns: (src_id, rel, dst_id, dst_label, value)."""
+    """Distinct edges of all of a source's edge columns: (src_id, rel, dst_id, dst_label, value), value being the name of
+    the node that an edge points to."""
     out = None
     rows = df.withColumn("__key", clean(F.col(spec.key).cast("string"))).filter("__key IS NOT NULL")
     for e in spec.edges:
-        if e.column not in df.columns:
+        if e.column not in df.columns or (e.within and e.within not in df.columns):
             continue
         values = split_values(e.column, e.delimiter, e.cap) if e.delimiter else F.array(clean(F.col(e.column).cast("string")))
-        part = rows.select(node_id(spec.label, F.col("__key")).alias("src_id"), F.lit(e.rel).alias("rel"), F.lit(e.target_label).alias("dst_label"), F.explode(values).alias("value")).filter("value IS NOT NULL")
+        inside = clean(F.col(e.within).cast("string")) if e.within else F.lit("")
+        part = rows.select(node_id(spec.label, F.col("__key")).alias("src_id"), F.lit(e.rel).alias("rel"), F.lit(e.target_label).alias("dst_label"), F.explode(values).alias("value"), inside.alias("inside")).filter("value IS NOT NULL AND inside IS NOT NULL")
+        key = F.concat_ws("|", "value", "inside") if e.within else F.col("value")
+        part = part.withColumn("dst_id", node_id(F.col("dst_label"), key))
+        if e.within_rel:
+            up = part.select(F.col("dst_id").alias("src_id"), F.lit(e.within_rel).alias("rel"), F.lit(e.within_label).alias("dst_label"), F.col("inside").alias("value"), node_id(e.within_label, F.col("inside")).alias("dst_id"))
+            part = part.drop("inside").unionByName(up)
+        part = part.select("src_id", "rel", "dst_id", "dst_label", "value")
         out = part if out is None else out.unionByName(part)
     if out is None:
         return df.sparkSession.createDataFrame([], "src_id string, rel string, dst_id string, dst_label string, value string")
-    return out.select("src_id", "rel", node_id(F.col("dst_label"), F.col("value")).alias("dst_id"), "dst_label", "value").distinct()
+    return out.distinct()
 
 
 def attribute_nodes(edges: DataFrame) -> DataFrame:
-    """The nodes that edges point to, created as needed."""
-    return edges.select(F.col("dst_id").alias("node_id"), F.col("dst_label").alias("label"), F.col("value").alias("key"), F.col("value").alias("name")).distinct()
+    """The nodes that edges point to, created as needed; a node's key is its id without the label."""
+    return edges.select(F.col("dst_id").alias("node_id"), F.col("dst_label").alias("label"), F.substr("dst_id", F.length("dst_label") + 2).alias("key"), F.col("value").alias("name")).distinct()
 
 
-def upsert_nodes(old: DataFrame, new: DataFrame, key: str = "node_id", props: str | None = "props") -> DataFrame:
-    """The old nodes with the new ones merged in: a new value replaces an old one unless it is null; properties are
-    united, the new ones winning. The new side must have one row per key."""
+def upsert_nodes(old: DataFrame, new: DataFrame, key: str = "node_id", props: str | None = "props", keep: tuple[str, ...] = ()) -> DataFrame:
+    """The old nodes with the new ones merged in: a new value replaces an old one unless it is null, but for the columns of
+    ``keep``, where the first value stays; properties are united, the new ones winning. The new side must have one row per
+    key."""
     cols = [c for c in old.columns if c not in (key, props)]
     o, n = old.alias("o"), new.alias("n")
     merged = o.join(n, F.col(f"o.{key}") == F.col(f"n.{key}"), "full_outer")
-    out = [F.coalesce(f"n.{key}", f"o.{key}").alias(key), *(F.coalesce(f"n.{c}", f"o.{c}").alias(c) for c in cols)]
+    out = [F.coalesce(f"n.{key}", f"o.{key}").alias(key), *((F.coalesce(f"o.{c}", f"n.{c}") if c in keep else F.coalesce(f"n.{c}", f"o.{c}")).alias(c) for c in cols)]
     if props:
         left, right = F.col(f"o.{props}"), F.col(f"n.{props}")
         rest = F.map_filter(left, lambda k, _: ~F.coalesce(F.map_contains_key(right, k), F.lit(False)))
@@ -164,24 +181,69 @@ def second_hop(nodes: DataFrame, edges: DataFrame, starts: DataFrame, through: l
 
 
 def shortest_paths(edges: DataFrame, pairs: DataFrame, most_hops: int = 4) -> DataFrame:
-    """(src_id, dst_id, hops) for the pairs at most ``most_hops`` undirected edges apart; equal ends have 0 hops.
+    """(src_id, dst_id, hops, path) for the pairs at most ``most_hops`` undirected edges apart: of the shortest paths the
+    least one, as an array of node ids. Equal ends have 0 hops; pairs with no such path have no row.
 
-    A frontier per source is advanced by joins; nodes seen before are dropped by an anti-join, so hubs are expanded once
-    per source. Every round is checkpointed, and sources whose targets are all reached leave the frontier.
+    Pairs are peeled, not sources expanded: a pair that shares no neighbour becomes the pairs of its other end with each
+    neighbour of the end that has fewer. Peeled pairs are pooled, so a hub is met once for all pairs that lead to it, and
+    its neighbours are listed only to find those that it shares with another node. One table of pairs per level, written.
     """
-    wanted = cut(pairs.select("src_id", "dst_id").distinct())
-    links = cut(both_ways(edges.select("src_id", "dst_id", "rel")).select("node_id", "other_id").distinct())
-    seen = cut(wanted.select("src_id", F.col("src_id").alias("node_id")).distinct().withColumn("hops", F.lit(0)))
-    frontier, found = seen, wanted.filter("src_id = dst_id").withColumn("hops", F.lit(0))
-    for hop in range(1, most_hops + 1):
-        open_sources = wanted.join(found, ["src_id", "dst_id"], "left_anti").select("src_id").distinct()
-        step = frontier.join(open_sources, "src_id", "left_semi").join(links, "node_id").select("src_id", F.col("other_id").alias("node_id")).distinct()
-        frontier = cut(step.join(seen, ["src_id", "node_id"], "left_anti").withColumn("hops", F.lit(hop)))
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier)
-        found = cut(found.unionByName(frontier.withColumnRenamed("node_id", "dst_id").join(wanted, ["src_id", "dst_id"], "left_semi")))
-    return found
+    links = cut(both_ways(edges.select("src_id", "dst_id", "rel")).select("node_id", "other_id").filter("node_id <> other_id").distinct())
+    degree = cut(links.groupBy("node_id").agg(F.count("*").alias("degree")))
+    wanted = cut(pairs.select("src_id", "dst_id").filter("src_id IS NOT NULL AND dst_id IS NOT NULL").distinct())
+    return _peeled(wanted, links, degree, most_hops).select("src_id", "dst_id", (F.size("path") - 1).alias("hops"), "path")
+
+
+def _peeled(wanted: DataFrame, links: DataFrame, degree: DataFrame, most: int) -> DataFrame:
+    """(src_id, dst_id, path) of the least shortest path of at most ``most`` edges."""
+    same = wanted.filter("src_id = dst_id").select("src_id", "dst_id", F.array("src_id").alias("path"))
+    if most < 1:
+        return same
+    apart = wanted.filter("src_id <> dst_id")
+    edge = apart.join(links.select(F.col("node_id").alias("src_id"), F.col("other_id").alias("dst_id")), ["src_id", "dst_id"], "left_semi")
+    found = cut(same.unionByName(edge.select("src_id", "dst_id", F.array("src_id", "dst_id").alias("path"))))
+    if most < 2:
+        return found
+    # the end with fewer neighbours is looked at
+    of = lambda end: degree.select(F.col("node_id").alias(end), F.col("degree").alias(f"{end}_degree"))
+    open_ = apart.join(found.select("src_id", "dst_id"), ["src_id", "dst_id"], "left_anti").join(of("src_id"), "src_id").join(of("dst_id"), "dst_id")
+    from_src = F.col("src_id_degree") <= F.col("dst_id_degree")
+    open_ = cut(open_.select("src_id", "dst_id", F.when(from_src, F.col("src_id")).otherwise(F.col("dst_id")).alias("near"), F.when(from_src, F.col("dst_id")).otherwise(F.col("src_id")).alias("far")))
+    steps = open_.select("near", "far").distinct().join(links.withColumnRenamed("node_id", "near"), "near")
+    middle = steps.join(links.select(F.col("node_id").alias("other_id"), F.col("other_id").alias("far")), ["other_id", "far"], "left_semi").groupBy("near", "far").agg(F.min("other_id").alias("mid"))
+    two = open_.join(middle, ["near", "far"]).select("src_id", "dst_id", F.array("src_id", "mid", "dst_id").alias("path"))
+    found = found.unionByName(two)
+    if most < 3:
+        return found
+    found = cut(found)
+    rest = cut(open_.join(found.select("src_id", "dst_id"), ["src_id", "dst_id"], "left_anti"))
+    if rest.isEmpty():
+        return found
+    peeled = cut(rest.join(links.withColumnRenamed("node_id", "near"), "near"))
+    forward = F.col("near") == F.col("src_id")
+    inner_src, inner_dst = F.when(forward, F.col("other_id")).otherwise(F.col("src_id")), F.when(forward, F.col("dst_id")).otherwise(F.col("other_id"))
+    peeled = peeled.select("src_id", "dst_id", forward.alias("forward"), inner_src.alias("a"), inner_dst.alias("b"))
+    inner = _peeled(cut(peeled.select(F.col("a").alias("src_id"), F.col("b").alias("dst_id")).distinct()), links, degree, most - 1)
+    whole = peeled.join(inner.select(F.col("src_id").alias("a"), F.col("dst_id").alias("b"), "path"), ["a", "b"])
+    whole = whole.select("src_id", "dst_id", F.when(F.col("forward"), F.concat(F.array("src_id"), "path")).otherwise(F.concat("path", F.array("dst_id"))).alias("path"))
+    least = whole.groupBy("src_id", "dst_id").agg(F.min(F.struct(F.size("path").alias("n"), "path"))["path"].alias("path"))
+    return cut(found.unionByName(least))
+
+
+def path_details(paths: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Paths (src_id, dst_id, hops, path) with names, labels and rels as arrays and as one line, a -[rel]-> b: of several
+    edges between two nodes the least relation, in either direction. A node without a name is called by its label."""
+    step = paths.select("src_id", "dst_id", F.posexplode("path").alias("i", "node_id"), "path")
+    step = step.withColumn("next_id", F.when(F.col("i") + 1 < F.size("path"), F.element_at("path", F.col("i") + 2)))
+    rel = both_ways(edges.select("src_id", "dst_id", "rel")).groupBy(F.col("node_id"), F.col("other_id").alias("next_id")).agg(F.min("rel").alias("rel"))
+    named = nodes.groupBy("node_id").agg(F.min("label").alias("label"), F.min("name").alias("name"))
+    full = step.join(named, "node_id", "left").join(rel, ["node_id", "next_id"], "left")
+    row = F.array_sort(F.collect_list(F.struct("i", F.coalesce("name", "label", "node_id").alias("name"), F.coalesce("label", F.lit("")).alias("label"), "rel")))
+    g = full.groupBy("src_id", "dst_id").agg(row.alias("r"))
+    of = lambda c: F.transform("r", lambda x: x[c])
+    names, labels, rels = of("name"), of("label"), of("rel")
+    line = F.array_join(F.transform("r", lambda x: F.concat(x["name"], F.coalesce(F.concat(F.lit(" -["), x["rel"], F.lit("]-> ")), F.lit("")))), "")
+    return paths.join(g.select("src_id", "dst_id", names.alias("names"), labels.alias("labels"), F.filter(rels, lambda x: x.isNotNull()).alias("rels"), line.alias("line")), ["src_id", "dst_id"])
 
 
 def subgraph(edges: DataFrame, starts: DataFrame) -> DataFrame:

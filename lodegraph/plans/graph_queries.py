@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodegraph.functions.text import clean, code_key
 from lodegraph.operators import graph as G
 from lodegraph.session import table
 
@@ -87,7 +88,13 @@ def shortest_path(spark: SparkSession, d: str) -> DataFrame:
     n = trade_nodes(spark, d).filter("label = 'Nation'").select(F.col("node_id").alias("dst_id"), F.col("key").cast("long").alias("m"))
     pairs = s.join(n, F.pmod(F.col("k"), F.lit(25)) == F.col("m")).select("src_id", "dst_id")
     up = trade_edges(spark, d).filter("src_id NOT LIKE 'Customer%'")
-    return G.shortest_paths(up, pairs, 4)
+    return _joined(G.shortest_paths(up, pairs, 4), "path")
+
+
+def path_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Names, labels and relations along the least paths between suppliers and the nations of other regions."""
+    found = shortest_path(spark, d).withColumn("path", F.split("path", ","))
+    return G.path_details(found, trade_nodes(spark, d), trade_edges(spark, d)).select("src_id", "dst_id", "hops", F.array_join("labels", ",").alias("labels"), F.array_join("rels", ",").alias("rels"), "line")
 
 
 def subgraph_edges(spark: SparkSession, d: str) -> DataFrame:
@@ -96,7 +103,7 @@ def subgraph_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def search_by_degree(spark: SparkSession, d: str) -> DataFrame:
-    return G.search(trade_nodes(spark, d), trade_edges(spark, d), "an", "Nation", 10)
+    return G.search(trade_nodes(spark, d), trade_edges(spark, d), "nation_1", "Nation", 10)
 
 
 def node_detail(spark: SparkSession, d: str) -> DataFrame:
@@ -133,10 +140,11 @@ def pair_join(spark: SparkSession, d: str) -> DataFrame:
 
 
 def two_edge_join(spark: SparkSession, d: str) -> DataFrame:
-    """Per brand the number of parts of each type, for types of exactly one size within the brand."""
-    p = table(spark, d, "part")
-    single = p.groupBy("p_brand", "p_type").agg(F.countDistinct("p_size").alias("sizes"), F.count("*").alias("n")).filter("sizes = 1")
-    return single.select("p_brand", "p_type", "n")
+    """Two edges of one node joined on it: districts whose places all have one label, with the label and their number."""
+    p = table(spark, d, "places").select(clean("key").alias("src_id"), clean("district").alias("district"), clean("label").alias("label")).filter("src_id IS NOT NULL")
+    in_district, is_type = p.filter("district IS NOT NULL").select("src_id", "district").distinct(), p.filter("label IS NOT NULL").select("src_id", "label").distinct()
+    both = in_district.join(is_type, "src_id").groupBy("district").agg(F.countDistinct("label").alias("types"), F.min("label").alias("label"), F.count("*").alias("n"))
+    return both.filter("types = 1 AND n >= 2").select("district", "label", "n")
 
 
 def edge_property_join(spark: SparkSession, d: str) -> DataFrame:
@@ -160,15 +168,13 @@ def semi_join_codes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def anti_join_done(spark: SparkSession, d: str) -> DataFrame:
-    """Customers without an order."""
-    o = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    """Customers without an urgent order."""
+    o = table(spark, d, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
     return table(spark, d, "customer").join(o, "c_custkey", "left_anti").select("c_custkey", "c_name")
 
 
 def self_join_supersedes(spark: SparkSession, d: str) -> DataFrame:
     """Regulations with the regulation that they supersede, by key."""
-    from lodegraph.functions.text import code_key
-
     r = table(spark, d, "regulation_timeline")
     new, old = r.select(F.col("row_id").alias("new_id"), code_key("supersedes").alias("k")), r.select(F.col("row_id").alias("old_id"), code_key("reg_id").alias("k"))
     return new.join(old, "k").select("new_id", "old_id")
@@ -176,7 +182,7 @@ def self_join_supersedes(spark: SparkSession, d: str) -> DataFrame:
 
 PLACE_SPEC = G.SourceSpec(
     "Place", "key", ("name",), ("name_en",), order="row_id", keep=("district", "addr_full"), text=("name_en", "district", "province"),
-    edges=(G.EdgeSpec("district", "IN_DISTRICT", "District"), G.EdgeSpec("province", "LOCATED_IN", "Province")),
+    edges=(G.EdgeSpec("district", "IN_DISTRICT", "District", within="province", within_rel="IN_PROVINCE", within_label="Province"), G.EdgeSpec("province", "LOCATED_IN", "Province")),
 )
 
 
@@ -231,7 +237,7 @@ def graph_probe(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        node_census, edge_census, neighbourhood_summary, neighbourhood_asof, hop2_expand, shortest_path, subgraph_edges, search_by_degree, node_detail, shared_node_join, chain_join, region_customers, pair_join, two_edge_join,
+        node_census, edge_census, neighbourhood_summary, neighbourhood_asof, hop2_expand, shortest_path, path_lines, subgraph_edges, search_by_degree, node_detail, shared_node_join, chain_join, region_customers, pair_join, two_edge_join,
         edge_property_join, left_issuer, semi_join_codes, anti_join_done, self_join_supersedes, place_nodes, place_edges, attribute_node_census, province_hierarchy, upsert_latest, upsert_edges, annotate_relation, graph_probe,
     )
 }
@@ -241,6 +247,12 @@ _CODE = "upper(regexp_replace(CASE WHEN lower(trim({0}, ' \t\n\r')) NOT IN ('',
 _PLACES_SQL = f"pl AS (SELECT *, {_CL.format('key')} AS k, row_number() OVER (PARTITION BY {_CL.format('key')} ORDER BY row_id) AS rn FROM places)"
 _ORDERS_SQL = """oe AS (SELECT 'Customer:' || o_custkey AS src_id, 'ORDERED' AS rel, 'Priority:' || o_orderpriority AS dst_id, year(o_orderdate) AS valid_from, CASE WHEN o_orderstatus <> 'O' THEN year(o_orderdate) + 1 END AS valid_to FROM orders)"""
 
+_PATHS_SQL = f"""{EDGES_SQL}, {BOTH_SQL}, up AS (SELECT DISTINCT node_id, other_id FROM seen WHERE node_id NOT LIKE 'Customer%' AND other_id NOT LIKE 'Customer%'),
+ want AS (SELECT 'Supplier:' || s_suppkey AS src_id, 'Nation:' || n_nationkey AS dst_id FROM supplier JOIN nation ON s_suppkey % 25 = n_nationkey),
+ walk AS (SELECT src_id, src_id AS node_id, [src_id] AS path FROM (SELECT DISTINCT src_id FROM want) UNION ALL SELECT w.src_id, u.other_id, list_append(w.path, u.other_id) FROM walk w JOIN up u USING (node_id)
+  WHERE len(w.path) < 5 AND NOT list_contains(w.path, u.other_id) AND (u.other_id NOT LIKE 'Supplier%')),
+ least AS (SELECT want.src_id, want.dst_id, min(len(path))::INTEGER - 1 AS hops, arg_min(path, (len(path), path)) AS path FROM want JOIN walk ON want.src_id = walk.src_id AND want.dst_id = walk.node_id GROUP BY 1, 2)"""
+
 ORACLES = {
     "node_census": f"WITH {NODES_SQL} SELECT label, count(*) AS n FROM nodes GROUP BY 1",
     "edge_census": f"WITH {EDGES_SQL} SELECT rel, count(*) AS n FROM edges GROUP BY 1",
@@ -248,35 +260,37 @@ ORACLES = {
     "neighbourhood_asof": f"""WITH {_ORDERS_SQL}, live AS (SELECT DISTINCT dst_id AS node_id, src_id AS other_id FROM oe WHERE valid_from <= 1996 AND (valid_to IS NULL OR valid_to >= 1996)),
  n1 AS (SELECT l.node_id, l.other_id, c_name AS mname FROM live l JOIN customer ON l.other_id = 'Customer:' || c_custkey)
  SELECT node_id, 'ORDERED' AS rel, 'Customer' AS mlabel, false AS outgoing, count(*) AS n, array_to_string(list_slice(list_sort(list(DISTINCT mname)), 1, 5), ',') AS samples, array_to_string(list_slice(list_sort(list(DISTINCT other_id)), 1, 5), ',') AS sample_ids FROM n1 GROUP BY 1""",
-    "hop2_expand": f"""WITH {GRAPH_SQL}, {_NEIGHBOURHOOD_SQL.format(where='')}, starts AS (SELECT node_id FROM nodes WHERE label = 'Supplier' AND key::BIGINT % 7 = 0),
+    "hop2_expand": f"""WITH {GRAPH_SQL}, {_NEIGHBOURHOOD_SQL.format(where='')}, starts AS (SELECT node_id FROM nodes WHERE label = 'Supplier'),
  reached AS (SELECT DISTINCT s.node_id AS start_id, unnest(string_split(s.sample_ids, ',')) AS node_id FROM summary s JOIN starts USING (node_id) WHERE s.mlabel IN ('Nation', 'Region') AND s.n <= 3),
  fresh AS (SELECT *, row_number() OVER (PARTITION BY start_id ORDER BY node_id) AS r FROM reached WHERE node_id NOT IN (SELECT node_id FROM starts))
  SELECT f.start_id, f.node_id, s.rel, s.mlabel, s.outgoing, s.n FROM fresh f JOIN summary s USING (node_id) WHERE f.r <= 4""",
-    "shortest_path": f"""WITH RECURSIVE {EDGES_SQL}, {BOTH_SQL}, up AS (SELECT DISTINCT node_id, other_id FROM seen WHERE node_id NOT LIKE 'Customer%' AND other_id NOT LIKE 'Customer%'),
- want AS (SELECT 'Supplier:' || s_suppkey AS src_id, 'Nation:' || n_nationkey AS dst_id FROM supplier JOIN nation ON s_suppkey % 25 = n_nationkey),
- walk AS (SELECT src_id, src_id AS node_id, 0 AS hops FROM (SELECT DISTINCT src_id FROM want) UNION SELECT w.src_id, u.other_id, w.hops + 1 FROM walk w JOIN up u USING (node_id) WHERE w.hops < 4)
- SELECT want.src_id, want.dst_id, min(hops) AS hops FROM want JOIN walk ON want.src_id = walk.src_id AND want.dst_id = walk.node_id GROUP BY 1, 2""",
+    "shortest_path": f"WITH RECURSIVE {_PATHS_SQL} SELECT src_id, dst_id, hops, array_to_string(path, ',') AS path FROM least",
+    "path_lines": f"""WITH RECURSIVE {_PATHS_SQL}, {NODES_SQL}, st AS (SELECT src_id, dst_id, hops, path, unnest(range(1, hops + 2)) AS i FROM least),
+ f AS (SELECT st.src_id, st.dst_id, st.hops, st.i, n.name, n.label, (SELECT min(rel) FROM seen WHERE seen.node_id = st.path[i] AND seen.other_id = st.path[i + 1]) AS rel FROM st JOIN nodes n ON n.node_id = st.path[i])
+ SELECT src_id, dst_id, hops, string_agg(label, ',' ORDER BY i) AS labels, coalesce(string_agg(rel, ',' ORDER BY i), '') AS rels, string_agg(name || coalesce(' -[' || rel || ']-> ', ''), '' ORDER BY i) AS line FROM f GROUP BY 1, 2, 3""",
     "subgraph_edges": f"""WITH {EDGES_SQL}, h1 AS (SELECT * FROM edges WHERE src_id IN ('Region:0', 'Region:1') OR dst_id IN ('Region:0', 'Region:1')),
  mid AS (SELECT src_id AS id FROM h1 UNION SELECT dst_id FROM h1) SELECT DISTINCT src_id, rel, dst_id FROM edges WHERE src_id IN (SELECT id FROM mid) OR dst_id IN (SELECT id FROM mid)""",
     "search_by_degree": f"""WITH {GRAPH_SQL} SELECT n.node_id, n.label, n.name, count(s.node_id) AS degree FROM nodes n LEFT JOIN seen s ON n.node_id = s.node_id
- WHERE n.label = 'Nation' AND (contains(lower(n.name), 'an') OR contains(lower(n.key), 'an')) GROUP BY 1, 2, 3 ORDER BY degree DESC, n.node_id LIMIT 10""",
+ WHERE n.label = 'Nation' AND (contains(lower(n.name), 'nation_1') OR contains(lower(n.key), 'nation_1')) GROUP BY 1, 2, 3 ORDER BY degree DESC, n.node_id LIMIT 10""",
     "node_detail": f"WITH {GRAPH_SQL} SELECT n.node_id, n.name, s.rel, s.outgoing, o.label AS mlabel, o.name AS mname FROM nodes n JOIN seen s USING (node_id) JOIN nodes o ON s.other_id = o.node_id WHERE n.node_id = 'Nation:3' ORDER BY s.rel, s.other_id LIMIT 60",
     "shared_node_join": "SELECT 'Supplier:' || s_suppkey AS supplier_id, 'Nation:' || s_nationkey AS nation_id, n FROM supplier JOIN (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1 HAVING count(*) >= 3) ON s_nationkey = c_nationkey",
     "chain_join": f"WITH {EDGES_SQL} SELECT a.src_id AS node_id, a.dst_id AS nation_id, b.dst_id AS region_id FROM edges a JOIN edges b ON a.dst_id = b.src_id WHERE a.rel = 'IN_NATION' AND b.rel = 'IN_REGION'",
     "region_customers": """WITH c AS (SELECT n_regionkey AS r, count(*) AS n_customers FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1)
  SELECT 'Supplier:' || s_suppkey AS supplier_id, 'Region:' || n_regionkey AS region_id, n_customers FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN c ON c.r = n_regionkey""",
-    "pair_join": "SELECT s_name, c_name, s_nationkey AS nationkey FROM supplier JOIN customer ON s_nationkey = c_nationkey WHERE c_acctbal > 9900",
-    "two_edge_join": "SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY 1, 2 HAVING count(DISTINCT p_size) = 1",
+    "pair_join": "SELECT s_name, c_name, s_nationkey AS nationkey FROM supplier JOIN customer ON s_nationkey = c_nationkey",
+    "two_edge_join": f"""WITH p AS (SELECT {_CL.format('key')} AS k, {_CL.format('district')} AS district, {_CL.format('label')} AS label FROM places), a AS (SELECT DISTINCT k, district FROM p WHERE k IS NOT NULL AND district IS NOT NULL), b AS (SELECT DISTINCT k, label FROM p WHERE k IS NOT NULL AND label IS NOT NULL)
+ SELECT district, min(label) AS label, count(*) AS n FROM a JOIN b USING (k) GROUP BY 1 HAVING count(DISTINCT label) = 1 AND count(*) >= 2""",
     "edge_property_join": """SELECT l_returnflag, count(*) AS n, count(DISTINCT l_partkey) AS n_parts FROM (SELECT DISTINCT l_partkey, l_suppkey, l_returnflag FROM lineitem) JOIN (SELECT l_partkey, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY 1) USING (l_partkey, l_suppkey) GROUP BY 1""",
     "left_issuer": "SELECT c_custkey, count(DISTINCT o_orderkey) AS n_orders FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1",
     "semi_join_codes": "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')",
-    "anti_join_done": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "anti_join_done": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')",
     "self_join_supersedes": f"SELECT a.row_id AS new_id, b.row_id AS old_id FROM regulation_timeline a JOIN regulation_timeline b ON {_CODE.format('a.supersedes')} = {_CODE.format('b.reg_id')}",
     "place_nodes": f"""WITH {_PLACES_SQL} SELECT 'Place:' || k AS node_id, 'Place' AS label, k AS key, {_CL.format('name')} AS name, {_CL.format('name_en')} AS name_en,
  concat_ws(' | ', 'Place', {_CL.format('name')}, {_CL.format('name_en')}, {_CL.format('district')}, regexp_replace({_CL.format('province')}, '^[\\s]+|[\\s]+$', '', 'g')) AS text, {_CL.format('district')} AS district FROM pl WHERE rn = 1 AND k IS NOT NULL""",
-    "place_edges": f"""WITH {_PLACES_SQL} SELECT DISTINCT 'Place:' || k AS src_id, 'IN_DISTRICT' AS rel, 'District:' || {_CL.format('district')} AS dst_id FROM pl WHERE k IS NOT NULL AND {_CL.format('district')} IS NOT NULL
- UNION SELECT DISTINCT 'Place:' || k, 'LOCATED_IN', 'Province:' || {_CL.format('province')} FROM pl WHERE k IS NOT NULL AND {_CL.format('province')} IS NOT NULL""",
-    "attribute_node_census": f"""SELECT 'District' AS label, count(DISTINCT {_CL.format('district')}) AS n FROM places WHERE {_CL.format('key')} IS NOT NULL UNION ALL SELECT 'Province', count(DISTINCT {_CL.format('province')}) FROM places WHERE {_CL.format('key')} IS NOT NULL""",
+    "place_edges": f"""WITH {_PLACES_SQL} SELECT DISTINCT 'Place:' || k AS src_id, 'IN_DISTRICT' AS rel, 'District:' || {_CL.format('district')} || '|' || {_CL.format('province')} AS dst_id FROM pl WHERE k IS NOT NULL AND {_CL.format('district')} IS NOT NULL AND {_CL.format('province')} IS NOT NULL
+ UNION SELECT DISTINCT 'Place:' || k, 'LOCATED_IN', 'Province:' || {_CL.format('province')} FROM pl WHERE k IS NOT NULL AND {_CL.format('province')} IS NOT NULL
+ UNION SELECT DISTINCT 'District:' || {_CL.format('district')} || '|' || {_CL.format('province')}, 'IN_PROVINCE', 'Province:' || {_CL.format('province')} FROM pl WHERE k IS NOT NULL AND {_CL.format('district')} IS NOT NULL AND {_CL.format('province')} IS NOT NULL""",
+    "attribute_node_census": f"""SELECT 'District' AS label, count(DISTINCT {_CL.format('district')} || '|' || {_CL.format('province')}) AS n FROM places WHERE {_CL.format('key')} IS NOT NULL UNION ALL SELECT 'Province', count(DISTINCT {_CL.format('province')}) FROM places WHERE {_CL.format('key')} IS NOT NULL""",
     "province_hierarchy": "SELECT DISTINCT 'Province:' || name_th AS src_id, 'IN_REGION' AS rel, 'Region:' || region_th AS dst_id FROM provinces",
     "upsert_latest": """WITH p AS (SELECT * FROM places WHERE key IS NOT NULL AND trim(key) <> ''),
  o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY loaded_at, row_id) AS rn FROM p WHERE loaded_at < '2024-07-01'), n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY loaded_at DESC, row_id) AS rn FROM p WHERE loaded_at >= '2024-07-01')
