@@ -33,9 +33,17 @@ def context_recall(context: Column, gold: Column) -> Column:
     return F.exists(gold, lambda g: (normalise_answer(g) != "") & F.contains(c, normalise_answer(g))).cast("double")
 
 
-def hit_at_k(found: Column, gold_nodes: Column) -> Column:
-    """Share of the gold nodes that were retrieved; NULL without gold nodes."""
-    return F.when(F.size(gold_nodes) > 0, F.size(F.filter(gold_nodes, lambda g: F.array_contains(found, g))) / F.size(gold_nodes))
+def hit_at_k(retrieved: Column, gold_nodes: Column) -> Column:
+    """Share of the gold nodes named in any of the retrieved texts, names and ids, all normalised; NULL without gold nodes.
+    A blank gold node is never found and counts."""
+    texts = F.array_join(F.transform(retrieved, lambda x: normalise_answer(F.coalesce(x, F.lit("")))), "\n")
+    hits = F.filter(gold_nodes, lambda g: (normalise_answer(g) != "") & F.contains(texts, normalise_answer(g)))
+    return F.when(F.size(gold_nodes) > 0, F.size(hits) / F.size(gold_nodes))
+
+
+def has_complete_path(complete: Column) -> Column:
+    """1 where a retriever gave a whole chain, 0 where it gave none."""
+    return F.coalesce(complete, F.lit(False)).cast("double")
 
 
 def path_validity(chain: Column, gold_path: Column) -> Column:

@@ -115,3 +115,24 @@ def char_f1(pred: str | Column, gold: str | Column) -> Column:
     p, g = normalise_answer(pred), normalise_answer(gold)
     both = multiset_overlap(p, g).cast("double")
     return F.when((F.length(p) == 0) | (F.length(g) == 0) | (both == 0), F.lit(0.0)).otherwise(2.0 * both / (F.length(p) + F.length(g)))
+
+
+def display_name(c: str | Column, names: dict[str, str]) -> Column:
+    """The name that a label or relation is shown by; itself where there is none."""
+    if not names:
+        return col(c)
+    table = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
+    return F.coalesce(F.element_at(table, col(c)), col(c))
+
+
+def name_phrase(c: str | Column, word: str) -> Column:
+    """A name after the word for its kind: not repeated where the name begins with it; Thai is written without a blank
+    between them, other scripts with one."""
+    n = F.trim(col(c))
+    thai = n.rlike("^[\u0e00-\u0e7f]")
+    return F.when(F.startswith(F.lower(n), F.lit(word.lower())), n).when(thai, F.concat(F.lit(word), n)).otherwise(F.concat(F.lit(word + " "), n))
+
+
+def grade_digit(c: str | Column) -> Column:
+    """The first 0 or 1 of a grader's answer; NULL where it has none."""
+    return F.regexp_extract(col(c), "[01]", 0).try_cast("double")

@@ -146,19 +146,23 @@ def both_ways(edges: DataFrame, *extra: str) -> DataFrame:
     return out.unionByName(back)
 
 
-def neighbourhood(nodes: DataFrame, edges: DataFrame, starts: DataFrame | None = None, samples: int = 5, as_of: Column | None = None) -> DataFrame:
+def neighbourhood(nodes: DataFrame, edges: DataFrame, starts: DataFrame | None = None, samples: int = 5, as_of: Column | None = None, at: str | None = None) -> DataFrame:
     """Aggregated one-hop neighbourhood: per start node, relation, neighbour label and direction the number of distinct
-    neighbours and the first few names and ids in order. With ``as_of``, only edges valid then (null bounds are open).
+    neighbours and the first few names and ids in order. With ``as_of``, only edges valid then (null bounds are open); NULL
+    does not filter. With ``at``, a column of the starts, every start has a year of its own, which is part of the result.
 
     Edges meet the starts before anything is grouped. A hub's neighbours are never in one task: counts are aggregated in
     part on the map side, and every task hands on only its first few names and ids. Labels and relations are not null.
     """
-    e = edges if as_of is None else edges.filter(valid_at(F.col("valid_from"), F.col("valid_to"), as_of))
-    seen = both_ways(e.select("src_id", "dst_id", "rel"))
-    if starts is not None:
+    e = edges if as_of is None else edges.filter(as_of.isNull() | valid_at(F.col("valid_from"), F.col("valid_to"), as_of))
+    bounds = ["valid_from", "valid_to"] if at else []
+    seen = both_ways(e.select("src_id", "dst_id", "rel", *bounds), *bounds)
+    if at:
+        seen = seen.join(starts.select("node_id", at).distinct(), "node_id").filter(valid_at(F.col("valid_from"), F.col("valid_to"), F.col(at)))
+    elif starts is not None:
         seen = seen.join(starts.select("node_id").distinct(), "node_id", "left_semi")
     others = nodes.select(F.col("node_id").alias("other_id"), F.col("label").alias("mlabel"), F.col("name").alias("mname"))
-    group = ["node_id", "rel", "mlabel", "outgoing"]
+    group = ["node_id", *([at] if at else []), "rel", "mlabel", "outgoing"]
     distinct = seen.join(others, "other_id").select(*group, "other_id", F.coalesce("mname", "other_id").alias("mname")).distinct()
     counts = distinct.groupBy(*group).agg(F.count("*").alias("n"))
     # names and ids in long form share one ranking; every task cuts it to the first few before the shuffle
@@ -191,7 +195,7 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, most_hops: int = 4) -> Da
     links = cut(both_ways(edges.select("src_id", "dst_id", "rel")).select("node_id", "other_id").filter("node_id <> other_id").distinct())
     degree = cut(links.groupBy("node_id").agg(F.count("*").alias("degree")))
     wanted = cut(pairs.select("src_id", "dst_id").filter("src_id IS NOT NULL AND dst_id IS NOT NULL").distinct())
-    return _peeled(wanted, links, degree, most_hops).select("src_id", "dst_id", (F.size("path") - 1).alias("hops"), "path")
+    return cut(_peeled(wanted, links, degree, most_hops)).select("src_id", "dst_id", (F.size("path") - 1).alias("hops"), "path")
 
 
 def _peeled(wanted: DataFrame, links: DataFrame, degree: DataFrame, most: int) -> DataFrame:
@@ -201,33 +205,30 @@ def _peeled(wanted: DataFrame, links: DataFrame, degree: DataFrame, most: int) -
         return same
     apart = wanted.filter("src_id <> dst_id")
     edge = apart.join(links.select(F.col("node_id").alias("src_id"), F.col("other_id").alias("dst_id")), ["src_id", "dst_id"], "left_semi")
-    found = cut(same.unionByName(edge.select("src_id", "dst_id", F.array("src_id", "dst_id").alias("path"))))
+    found = same.unionByName(edge.select("src_id", "dst_id", F.array("src_id", "dst_id").alias("path")))
     if most < 2:
         return found
     # the end with fewer neighbours is looked at
     of = lambda end: degree.select(F.col("node_id").alias(end), F.col("degree").alias(f"{end}_degree"))
-    open_ = apart.join(found.select("src_id", "dst_id"), ["src_id", "dst_id"], "left_anti").join(of("src_id"), "src_id").join(of("dst_id"), "dst_id")
+    open_ = apart.join(edge, ["src_id", "dst_id"], "left_anti").join(of("src_id"), "src_id").join(of("dst_id"), "dst_id")
     from_src = F.col("src_id_degree") <= F.col("dst_id_degree")
     open_ = cut(open_.select("src_id", "dst_id", F.when(from_src, F.col("src_id")).otherwise(F.col("dst_id")).alias("near"), F.when(from_src, F.col("dst_id")).otherwise(F.col("src_id")).alias("far")))
     steps = open_.select("near", "far").distinct().join(links.withColumnRenamed("node_id", "near"), "near")
     middle = steps.join(links.select(F.col("node_id").alias("other_id"), F.col("other_id").alias("far")), ["other_id", "far"], "left_semi").groupBy("near", "far").agg(F.min("other_id").alias("mid"))
-    two = open_.join(middle, ["near", "far"]).select("src_id", "dst_id", F.array("src_id", "mid", "dst_id").alias("path"))
-    found = found.unionByName(two)
-    if most < 3:
+    looked = cut(open_.join(middle, ["near", "far"], "left"))
+    found = found.unionByName(looked.filter("mid IS NOT NULL").select("src_id", "dst_id", F.array("src_id", "mid", "dst_id").alias("path")))
+    rest = looked.filter("mid IS NULL")
+    if most < 3 or rest.isEmpty():
         return found
-    found = cut(found)
-    rest = cut(open_.join(found.select("src_id", "dst_id"), ["src_id", "dst_id"], "left_anti"))
-    if rest.isEmpty():
-        return found
-    peeled = cut(rest.join(links.withColumnRenamed("node_id", "near"), "near"))
+    peeled = rest.join(links.withColumnRenamed("node_id", "near"), "near")
     forward = F.col("near") == F.col("src_id")
     inner_src, inner_dst = F.when(forward, F.col("other_id")).otherwise(F.col("src_id")), F.when(forward, F.col("dst_id")).otherwise(F.col("other_id"))
-    peeled = peeled.select("src_id", "dst_id", forward.alias("forward"), inner_src.alias("a"), inner_dst.alias("b"))
-    inner = _peeled(cut(peeled.select(F.col("a").alias("src_id"), F.col("b").alias("dst_id")).distinct()), links, degree, most - 1)
+    peeled = cut(peeled.select("src_id", "dst_id", forward.alias("forward"), inner_src.alias("a"), inner_dst.alias("b")))
+    inner = _peeled(peeled.select(F.col("a").alias("src_id"), F.col("b").alias("dst_id")).distinct(), links, degree, most - 1)
     whole = peeled.join(inner.select(F.col("src_id").alias("a"), F.col("dst_id").alias("b"), "path"), ["a", "b"])
     whole = whole.select("src_id", "dst_id", F.when(F.col("forward"), F.concat(F.array("src_id"), "path")).otherwise(F.concat("path", F.array("dst_id"))).alias("path"))
     least = whole.groupBy("src_id", "dst_id").agg(F.min(F.struct(F.size("path").alias("n"), "path"))["path"].alias("path"))
-    return cut(found.unionByName(least))
+    return found.unionByName(least)
 
 
 def path_details(paths: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:

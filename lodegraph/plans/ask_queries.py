@@ -6,30 +6,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodegraph.functions.text import clean
+from lodegraph.operators import build as B
 from lodegraph.operators import graph as G
 from lodegraph.operators import linking as L
 from lodegraph.operators import retrieval as R
 from lodegraph.operators.intervals import buddhist_year
 from lodegraph.operators.rulings import clean_rulings
+from lodegraph.plans.domain_queries import term_link
 from lodegraph.plans.graph_queries import PLACE_SPEC
 from lodegraph.session import table
 
 
-def domain_graph(spark: SparkSession, d: str) -> R.Graph:
-    """Places, their districts and provinces, and regulations with their issuers, the latter edges timed."""
-    places = table(spark, d, "places")
+def domain_graph(spark: SparkSession, d: str, contains: bool = False) -> R.Graph:
+    """Places, their districts and provinces, and regulations with their issuers and what they replace, the latter edges
+    timed; with ``contains`` also which products hold which ingredients."""
+    places, rulings, timeline = table(spark, d, "places"), table(spark, d, "ingredient_rulings"), table(spark, d, "regulation_timeline")
     pn = G.build_nodes(places, PLACE_SPEC).select("node_id", "label", "name", "text")
     pe = G.build_edges(places, PLACE_SPEC)
-    attrs = G.attribute_nodes(pe).select("node_id", "label", "name", F.concat_ws(" | ", "label", "name").alias("text"))
-    regs = table(spark, d, "regulation_timeline").filter("deleted_at IS NULL")
-    first = G.first_per_key(regs.withColumn("k", clean("reg_id")), F.col("k"), F.col("row_id"))
-    rn = first.select(F.concat(F.lit("Regulation:"), F.col("k")).alias("node_id"), F.lit("Regulation").alias("label"), clean("name_th").alias("name"), F.concat_ws(" | ", F.lit("Regulation"), "name_th", "name_en").alias("text"))
-    issued = first.filter(clean("issuer_th").isNotNull()).select(F.concat(F.lit("Regulation:"), F.col("k")).alias("src_id"), F.lit("ISSUED_BY").alias("rel"), F.concat(F.lit("Organisation:"), clean("issuer_th")).alias("dst_id"), buddhist_year("valid_from").alias("valid_from"), buddhist_year("valid_to").alias("valid_to"))
-    orgs = issued.select(F.col("dst_id").alias("node_id"), F.lit("Organisation").alias("label"), F.substring("dst_id", 14, 999).alias("name")).distinct().withColumn("text", F.col("name"))
+    attrs = G.attribute_nodes(pe).select("node_id", "label", "name", F.concat_ws(" | ", "label", "key").alias("text"))
+    rn, re = B.timeline_graph(timeline)
     none = F.lit(None).cast("int")
-    edges = pe.select("src_id", "rel", "dst_id", none.alias("valid_from"), none.alias("valid_to")).unionByName(issued)
-    nodes = pn.unionByName(attrs).unionByName(rn).unionByName(orgs)
-    return R.Graph(nodes, edges, clean_rulings(table(spark, d, "ingredient_rulings")))
+    edges = pe.select("src_id", "rel", "dst_id", none.alias("valid_from"), none.alias("valid_to")).unionByName(re.select("src_id", "rel", "dst_id", "valid_from", "valid_to"))
+    nodes = pn.unionByName(attrs).unionByName(rn.select("node_id", "label", "name", "text"))
+    issuer = re.filter("rel = 'ISSUED_BY'").select(F.col("src_id").alias("node_id"), "valid_from", "valid_to", F.substr("dst_id", F.lit(len("Organisation:") + 1)).alias("issuer"))
+    in_time = rn.filter("label = 'Regulation'").select("node_id", "name").join(issuer, "node_id")
+    options = {"timeline": in_time}
+    if contains:
+        links = term_link(spark, d).select("row_id", "ingredient", "term")
+        products = table(spark, d, "product_processed").select("row_id", clean("product_name").alias("product"), clean("halal_code").alias("code"))
+        options["contains"] = links.join(products, "row_id").select(F.concat(F.lit("Product:"), F.col("row_id").cast("string")).alias("node_id"), "product", "code", "ingredient", "term")
+    known = clean_rulings(rulings).join(rulings.select("row_id", clean("e_number").alias("e_number")), "row_id")
+    return R.Graph(nodes, edges, known, options)
 
 
 def _questions(spark: SparkSession, d: str) -> DataFrame:
@@ -60,7 +67,8 @@ def ask_temporal(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ask_ingredient(spark: SparkSession, d: str) -> DataFrame:
-    return _ask(spark, d, "ingredient")
+    g = domain_graph(spark, d, contains=True)
+    return R.answer(_questions(spark, d), g, "ingredient").select("question_id", "retriever", "answer", F.size("provenance").alias("n_sources"))
 
 
 QUERIES = {f.__name__: f for f in (link_entities, ask_vector, ask_graph, ask_temporal, ask_ingredient)}

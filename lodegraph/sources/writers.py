@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodegraph.operators.graph import node_id
@@ -18,12 +18,26 @@ def append_progress(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
-def write_table(df: DataFrame, path: str, by: list[str] | None = None, kind: str = "parquet") -> None:
-    """A whole table replaced, partitioned by the given columns."""
+def write_table(df: DataFrame, path: str, by: list[str] | None = None, kind: str = "parquet", header: bool | None = None) -> None:
+    """A whole table replaced, partitioned by the given columns; CSV with a header where asked."""
     w = df.write.mode("overwrite").format(kind)
+    w = w.option("header", header) if header is not None else w
     (w.partitionBy(*by) if by else w).save(path)
 
 
+def create_collection(spark: SparkSession, name: str, size: int, metric: str = "cosine") -> bool:
+    """A table of vectors (id, vector, key, label, name, text) with its size and metric as properties, made only where it is
+    absent; one that is there must agree. True if it was made."""
+    have = spark.catalog.tableExists(name)
+    if have:
+        props = {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {name}").collect()}
+        if (props.get("size"), props.get("metric")) != (str(size), metric):
+            raise ValueError(f"{name} holds vectors of size {props.get('size')} by {props.get('metric')}")
+        return False
+    spark.sql(f"CREATE TABLE {name} (id STRING, vector ARRAY<FLOAT>, key STRING, label STRING, name STRING, text STRING) USING parquet TBLPROPERTIES ('size' = '{int(size)}', 'metric' = '{metric}')")
+    return True
+
+
 def write_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> None:
     """A table bucketed and sorted by its key, so that later joins on it need no shuffle."""
     df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(name)

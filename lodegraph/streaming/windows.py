@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,7 +38,7 @@ def append_unseen(stream: DataFrame, target: str, keys: list[str], checkpoint: s
     """Starts a query that appends to a Parquet table the rows whose keys it does not hold yet: a restart or a repeated
     batch adds nothing twice."""
     spark = stream.sparkSession
-    where = checkpoint or f"{ensure_checkpoint_dir(spark)}/streams/{abs(hash(target))}"
+    where = checkpoint or f"{ensure_checkpoint_dir(spark)}/streams/{hashlib.sha256(target.encode()).hexdigest()[:16]}"
 
     def write(batch: DataFrame, _: int) -> None:
         from lodegraph.sources.readers import exists
