@@ -136,3 +136,13 @@ def name_phrase(c: str | Column, word: str) -> Column:
 def grade_digit(c: str | Column) -> Column:
     """The first 0 or 1 of a grader's answer; NULL where it has none."""
     return F.regexp_extract(col(c), "[01]", 0).try_cast("double")
+
+
+def bare_name(c: str | Column, prefixes: tuple[str, ...], suffixes: tuple[str, ...] = ()) -> Column:
+    """A name in lower case without the prefixes, taken off once each in order, and the suffixes; NULL where missing."""
+    x = F.lower(clean(c))
+    for p in prefixes:
+        x = F.when(F.startswith(x, F.lit(p)), F.trim(F.substr(x, F.lit(len(p) + 1)))).otherwise(x)
+    for p in suffixes:
+        x = F.when(F.endswith(x, F.lit(p)), F.trim(F.left(x, F.length(x) - len(p)))).otherwise(x)
+    return x

@@ -56,12 +56,16 @@ def ingredient_aliases(df: DataFrame) -> DataFrame:
     return _aliases_of(df.select(clean("ingredient_th").alias("ingredient"), F.explode(packed_values("aliases")).alias("alias")))
 
 
+def name_terms(df: DataFrame) -> DataFrame:
+    """(ingredient, alias): an ingredient's whole name, its English names and its E numbers, of all its rows."""
+    i = clean("ingredient_th").alias("ingredient")
+    return _aliases_of(df.select(i, F.explode(F.array(clean("ingredient_th"), clean("ingredient_en"), clean("e_number"))).alias("alias")).filter("alias IS NOT NULL"))
+
+
 def ingredient_terms(df: DataFrame) -> DataFrame:
     """(ingredient, alias): all that an ingredient may be called in a text: its whole name, its English names, its E
     numbers and its aliases, of all its rows."""
-    i = clean("ingredient_th").alias("ingredient")
-    named = df.select(i, F.explode(F.array(clean("ingredient_th"), clean("ingredient_en"), clean("e_number"))).alias("alias")).filter("alias IS NOT NULL")
-    return _aliases_of(named.unionByName(ingredient_aliases(df)))
+    return _aliases_of(name_terms(df).unionByName(ingredient_aliases(df)))
 
 
 def invalid_rulings(df: DataFrame, required: tuple[str, ...] = ("ingredient_th", "source_th", "ruling")) -> DataFrame:

@@ -133,7 +133,7 @@ ORACLES = {
  g AS (SELECT node_id, string_agg(s, ';' ORDER BY s) AS props FROM (SELECT node_id, concat_ws('=', x.key, x.value) AS s FROM kv) GROUP BY 1)
  SELECT node_id, name, text, CASE WHEN op IS NULL AND np IS NULL THEN NULL ELSE coalesce(g.props, '') END AS props FROM m LEFT JOIN g USING (node_id)""",
     "expired_by_seed": f"WITH {_C} SELECT 'Product:' || k AS node_id, 'Certifier:{CERTIFIER}' AS certifier_id, vt AS valid_to FROM ce WHERE vt < 2567",
-    "regulations_and_bodies": f"SELECT CASE WHEN coalesce(lower({_CL.format('kind')}), '') = 'organisation' THEN 'organisation' ELSE 'regulation' END AS part, count(*) AS n FROM regulation_timeline GROUP BY 1",
+    "regulations_and_bodies": " UNION ALL ".join(f"SELECT '{part}' AS part, count(*) AS n FROM regulation_timeline WHERE coalesce(lower({_CL.format('kind')}), '') {op} 'organisation'" for part, op in (("regulation", "<>"), ("organisation", "="))),
     "period_texts": f"SELECT row_id, {_PERIOD} AS period FROM (SELECT row_id, {_YEAR.format('valid_from')} AS vf, {_YEAR.format('valid_to')} AS vt FROM regulation_timeline)",
     "prohibited_sources": f"SELECT {_CL.format('source_type')} AS source_type, lower({_CL.format('ruling')}) AS ruling, count(*) AS n FROM ingredient_rulings WHERE {_CL.format('source_type')} IS NOT NULL AND {_CL.format('ruling')} IS NOT NULL GROUP BY 1, 2",
 }

@@ -55,7 +55,7 @@ def lcs_len(spark: SparkSession, d: str) -> DataFrame:
 
 def ngrams(spark: SparkSession, d: str) -> DataFrame:
     """Character n-grams of part names and the number of parts that hold them."""
-    g = table(spark, d, "part").select("p_partkey", F.explode(T.ngrams(F.lower("p_name"), 3, 5)).alias("gram"))
+    g = table(spark, d, "part").select("p_partkey", F.explode(T.ngrams(F.lower("p_name"), 3, 12)).alias("gram"))
     return g.groupBy("gram").agg(F.count("*").alias("n"))
 
 
@@ -147,11 +147,10 @@ def rate_window(spark: SparkSession, d: str) -> DataFrame:
 
 
 def validate_items(spark: SparkSession, d: str) -> DataFrame:
-    """Broken rules of the evaluation items: no question, no answer, an unknown kind, an id used again."""
-    e = table(spark, d, "thai_eval")
-    n = e.groupBy("id").agg(F.count("*").alias("uses"))
-    rules = [F.when(T.clean("question").isNull(), F.lit("no question")), F.when(T.clean("answer").isNull(), F.lit("no answer")), F.when(~F.coalesce(F.col("hop_type"), F.lit("")).isin("single", "multi", "relational"), F.lit("unknown kind")), F.when(F.col("uses") > 1, F.lit("repeated id"))]
-    return e.join(n, "id").select("row_id", F.explode(F.filter(F.array(*rules), lambda x: x.isNotNull())).alias("problem"))
+    """Broken rules of the evaluation items: no id, no question, no answer, an unknown kind, an id used again."""
+    from lodegraph.operators.evaluation import problems
+
+    return problems(table(spark, d, "thai_eval")).select("row_id", "problem")
 
 
 def eval_catalogue(spark: SparkSession, d: str) -> DataFrame:
@@ -196,11 +195,10 @@ def hit_at_k(spark: SparkSession, d: str) -> DataFrame:
 
 
 def path_validity(spark: SparkSession, d: str) -> DataFrame:
-    """How far an ingredient's first eight chains (a top-k), in row order, follow source then ruling of its first row."""
+    """How far all of an ingredient's chains, in row order, follow source then ruling of its first row."""
     from lodegraph.operators.rulings import clean_rulings
 
     r = clean_rulings(table(spark, d, "ingredient_rulings")).filter("ingredient IS NOT NULL AND source IS NOT NULL")
-    r = G.cap_facts(r, "ingredient", 8, "row_id")
     chain = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("row_id", "source", "ruling"))), lambda x: F.array(x["source"], x["ruling"])))
     g = r.groupBy("ingredient").agg(chain.alias("chain"), F.min_by("source", "row_id").alias("s"), F.min_by("ruling", "row_id").alias("v"))
     return g.select("ingredient", F.round(M.path_validity(F.filter("chain", lambda x: x.isNotNull()), F.array("s", "v")), 4).alias("validity"))
@@ -232,6 +230,31 @@ def term_durations(spark: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", M.duration_seconds(F.col("stated")).alias("seconds"))
 
 
+def display_names(spark: SparkSession, d: str) -> DataFrame:
+    """Event types by the names that they are shown by, itself where there is none."""
+    e = table(spark, d, "events").select(T.display_name("event_type", {"click": "Click", "view": "Page view"}).alias("shown"))
+    return e.groupBy("shown").agg(F.count("*").alias("n"))
+
+
+def name_phrases(spark: SparkSession, d: str) -> DataFrame:
+    """Hotels' names after the word for a hotel, which is not repeated."""
+    p = table(spark, d, "places").filter("label = 'Hotel' AND name IS NOT NULL")
+    return p.select("row_id", T.name_phrase("name", "โรงแรม").alias("phrase"))
+
+
+def grade_digits(spark: SparkSession, d: str) -> DataFrame:
+    """The first 0 or 1 in a text, as a grader's verdict is read."""
+    return table(spark, d, "events").select("event_id", T.grade_digit(F.concat(F.lit("grade: "), F.col("event_id").cast("string"))).alias("grade"))
+
+
+def candidate_spans(spark: SparkSession, d: str) -> DataFrame:
+    """The words of every question that may name something, before its runs of letters; stop words left out."""
+    from lodegraph.operators.linking import STOPWORDS
+
+    q = table(spark, d, "thai_eval").filter("question IS NOT NULL").select("row_id", F.size(T.candidate_spans(F.col("question"), STOPWORDS)).alias("n"))
+    return q.select("row_id", (F.col("n") > 0).alias("any"))
+
+
 def unique_names(spark: SparkSession, d: str) -> DataFrame:
     """Place names used once among all places, eight letters or more."""
     p = table(spark, d, "places").filter("name IS NOT NULL").groupBy("name").agg(F.count("*").alias("n"), F.min("row_id").alias("row_id"))
@@ -242,7 +265,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         node_text, fact_lines, fact_cap, hash_ids, thai_length, dice, lcs_len, ngrams, char_f1, shadow_removal, seed_topk, vector_topk, vector_topk_multi, stratified_sample, deterministic_shuffle, summary_grouping_sets, integrity_gate, pivot_metric, melt_metric,
-        usage_totals, rate_window, validate_items, eval_catalogue, exact_match, containment, context_recall, hit_at_k, path_validity, wrong_era, score_summary, question_retriever_grid, term_durations, unique_names,
+        usage_totals, rate_window, validate_items, eval_catalogue, exact_match, containment, context_recall, hit_at_k, path_validity, wrong_era, score_summary, question_retriever_grid, term_durations, display_names, name_phrases, grade_digits, candidate_spans, unique_names,
     )
 }
 
@@ -260,7 +283,7 @@ ORACLES = {
     "dice": f"SELECT row_id, round(2.0::DOUBLE * {_TL.format('name_en')} / ({_TL.format('name')} + {_TL.format('name_en')}), 4) AS score FROM places WHERE name IS NOT NULL AND name_en IS NOT NULL",
     "lcs_len": """SELECT a.n_name AS a, b.n_name AS b, coalesce((SELECT max(k) FROM (SELECT unnest(range(1, length(a.n_name) + 1)) AS i), (SELECT unnest(range(1, length(a.n_name) + 1)) AS k) WHERE i + k - 1 <= length(a.n_name) AND contains(b.n_name, substring(a.n_name, i, k))), 0) AS n
  FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_name < b.n_name""",
-    "ngrams": "SELECT gram, count(*) AS n FROM (SELECT DISTINCT p_partkey, substring(lower(p_name), i::INTEGER, k::INTEGER) AS gram FROM part, (SELECT unnest(range(3, 6)) AS k), (SELECT unnest(range(1, 200)) AS i) WHERE i + k - 1 <= length(p_name)) GROUP BY 1",
+    "ngrams": "SELECT gram, count(*) AS n FROM (SELECT DISTINCT p_partkey, substring(lower(p_name), i::INTEGER, k::INTEGER) AS gram FROM part, (SELECT unnest(range(3, 13)) AS k), (SELECT unnest(range(1, 200)) AS i) WHERE i + k - 1 <= length(p_name)) GROUP BY 1",
     "char_f1": f"""WITH e AS (SELECT row_id, {_N.format('stale_answer')} AS p, {_N.format('answer')} AS g FROM thai_eval WHERE answer IS NOT NULL AND stale_answer IS NOT NULL),
  c AS (SELECT row_id, s, ch, count(*) AS n FROM (SELECT row_id, 'p' AS s, unnest(string_split(p, '')) AS ch FROM e UNION ALL SELECT row_id, 'g', unnest(string_split(g, '')) FROM e) GROUP BY 1, 2, 3),
  o AS (SELECT a.row_id, sum(least(a.n, b.n)) AS n FROM c a JOIN c b ON a.row_id = b.row_id AND a.ch = b.ch AND a.s = 'p' AND b.s = 'g' WHERE a.ch <> '' GROUP BY 1)
@@ -280,7 +303,7 @@ ORACLES = {
     "melt_metric": "WITH w AS (SELECT l_returnflag, sum(l_quantity)::BIGINT AS quantity, count(*) AS lines FROM lineitem GROUP BY 1) SELECT l_returnflag, 'quantity' AS metric, quantity AS value FROM w UNION ALL SELECT l_returnflag, 'lines', lines FROM w",
     "usage_totals": "SELECT source, sum(ceil(length(coalesce(text, '')) / 2.5))::BIGINT AS tokens, count(*) AS n FROM documents GROUP BY 1",
     "rate_window": "SELECT event_id, round(sum(value) OVER w, 3) AS spent, count(*) OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 60 SECONDS PRECEDING AND CURRENT ROW)",
-    "validate_items": f"""WITH e AS (SELECT *, count(*) OVER (PARTITION BY id) AS uses FROM thai_eval WHERE id IS NOT NULL) SELECT row_id, 'no question' AS problem FROM e WHERE {_CL.format('question')} IS NULL UNION ALL SELECT row_id, 'no answer' FROM e WHERE {_CL.format('answer')} IS NULL
+    "validate_items": f"""WITH e AS (SELECT *, CASE WHEN id IS NOT NULL THEN count(*) OVER (PARTITION BY id) END AS uses FROM thai_eval) SELECT row_id, 'no id' AS problem FROM e WHERE {_CL.format('id')} IS NULL UNION ALL SELECT row_id, 'no question' AS problem FROM e WHERE {_CL.format('question')} IS NULL UNION ALL SELECT row_id, 'no answer' FROM e WHERE {_CL.format('answer')} IS NULL
  UNION ALL SELECT row_id, 'unknown kind' FROM e WHERE coalesce(hop_type, '') NOT IN ('single', 'multi', 'relational') UNION ALL SELECT row_id, 'repeated id' FROM e WHERE uses > 1""",
     "eval_catalogue": f"SELECT coalesce({_CL.format('provenance')}, 'none') AS provenance, " + ", ".join(f"count(*) FILTER (hop_type = '{h}') AS {h}" for h in ("single", "multi", "relational")) + " FROM thai_eval GROUP BY 1",
     "exact_match": f"SELECT row_id, CASE WHEN {_N.format('stale_answer')} = {_N.format('answer')} THEN 1.0 ELSE 0.0 END::DOUBLE AS em FROM thai_eval WHERE answer IS NOT NULL AND stale_answer IS NOT NULL",
@@ -296,5 +319,8 @@ ORACLES = {
  b AS (SELECT *, max(score) OVER (PARTITION BY row_id) AS best FROM h), r AS (SELECT row_id, name, score, row_number() OVER (PARTITION BY row_id ORDER BY score DESC, name) AS rank FROM b WHERE score >= 0.75 * best) SELECT * FROM r WHERE rank <= 3""",
     "question_retriever_grid": "SELECT DISTINCT id, r AS retriever FROM thai_eval, (SELECT unnest(['vector', 'graph', 'temporal']) AS r) WHERE NOT (r = 'vector' AND id IN (SELECT eval_id FROM eval_passages WHERE eval_id IS NOT NULL))",
     "term_durations": "SELECT event_id, ((event_id % 3) * 60 + event_id % 60)::DOUBLE AS seconds FROM events",
+    "display_names": "SELECT CASE event_type WHEN 'click' THEN 'Click' WHEN 'view' THEN 'Page view' ELSE event_type END AS shown, count(*) AS n FROM events GROUP BY 1",
+    "name_phrases": "SELECT row_id, CASE WHEN starts_with(trim(name), 'โรงแรม') THEN trim(name) WHEN regexp_matches(trim(name), '^[\u0e00-\u0e7f]') THEN 'โรงแรม' || trim(name) ELSE 'โรงแรม ' || trim(name) END AS phrase FROM places WHERE label = 'Hotel' AND name IS NOT NULL",
+    "grade_digits": "SELECT event_id, try_cast(nullif(regexp_extract(event_id::VARCHAR, '[01]'), '') AS DOUBLE) AS grade FROM events",
     "unique_names": "SELECT min(row_id) AS row_id, name FROM places WHERE name IS NOT NULL GROUP BY name HAVING count(*) = 1 AND length(name) >= 8",
 }

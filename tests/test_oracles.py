@@ -6,6 +6,8 @@ import pytest
 from lodegraph.plans import registry
 
 SF = "/root/testdata/sf0.001"
+# queries whose cases the smallest tables do not hold; they have rows at the size of the driver's comparison
+EMPTY_AT_THIS_SIZE: set[str] = set()
 
 
 @pytest.fixture(scope="module")
@@ -16,11 +18,18 @@ def con():
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_query_equals_sql(spark, con, name):
     assert oracle.compare(spark, con, registry.QUERIES[name], registry.ORACLES[name], SF) is None
+    if name not in EMPTY_AT_THIS_SIZE:
+        assert con.execute(f"SELECT count(*) FROM ({registry.ORACLES[name]})").fetchone()[0] > 0, "nothing was compared"
+
+
+# queries that end with rows on these tables; no ingredient's name or alias stands in any product's name here
+ROWLESS = {"term_link", "products_for"}
 
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
-def test_query_runs(spark, name):
-    assert registry.QUERIES[name](spark, SF).count() >= 0
+def test_query_has_rows(spark, name):
+    df = registry.QUERIES[name](spark, SF)
+    assert (df.count() > 0) != (name in ROWLESS)
 
 
 def test_results_do_not_depend_on_partitions(spark):
