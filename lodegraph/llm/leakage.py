@@ -21,6 +21,8 @@ _WINDOW = STRETCH - GRAM + 1
 _BITS_PER_TERM, _LEAST_BITS, _MOST_BITS = 16, 16, 27
 #: Share of a passage's letters that its most frequent terms may cover and yet be left out of the candidate search.
 _SPARE = 0.15
+#: Postings of a term that one task meets.
+_HOT = 50_000
 #: A term in fewer documents than this is not worth leaving out.
 _RARE = 20
 
@@ -148,25 +150,65 @@ def _rare_terms(terms: DataFrame, frequencies: DataFrame) -> DataFrame:
     return marked.filter("NOT frequent").select("h", "passage_id", "pos", "prev", "next", "n", F.lit(0).alias("spared")).unionByName(kept_terms)
 
 
-def _covered(doc: np.ndarray, passage: np.ndarray) -> int:
-    """Letters of the passage that lie in stretches of at least STRETCH shared with the document, compared exactly."""
+def _stretches(doc: np.ndarray, passage: np.ndarray) -> list[tuple[int, int, int]]:
+    """(position in the passage, position in the document, letters) of the stretches of at least STRETCH letters that both
+    hold, compared exactly; of several places in the document the first."""
     hp, hd = hashes(passage, STRETCH), hashes(doc, STRETCH)
     if not len(hp) or not len(hd):
-        return 0
+        return []
     order = np.argsort(hd, kind="stable")
     at = np.searchsorted(hd[order], hp)
     some = np.flatnonzero((at < len(hd)) & (hd[order][np.minimum(at, len(hd) - 1)] == hp))
-    cover = np.zeros(len(passage), dtype=bool)
-    for p in some:
-        d = order[at[p]]
+    out: list[tuple[int, int, int]] = []
+    for p in some.tolist():
+        d = int(order[at[p]])
         if np.array_equal(doc[d : d + STRETCH], passage[p : p + STRETCH]):
-            cover[p : p + STRETCH] = True
-    return int(cover.sum())
+            if out and p - out[-1][0] == d - out[-1][1] and p <= out[-1][0] + out[-1][2] - STRETCH + 1:
+                out[-1] = (out[-1][0], out[-1][1], p + STRETCH - out[-1][0])
+            else:
+                out.append((p, d, STRETCH))
+    return out
 
 
-def leaks(docs: DataFrame, passages: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", passage_id: str = "passage_id", passage_text: str = "text") -> DataFrame:
-    """(doc_id, passage_id, share): every document that holds at least SHARE of a passage's letters and digits in
-    stretches of STRETCH or more.
+def _covered(stretches: list[tuple[int, int, int]]) -> int:
+    """Letters of the passage that the stretches cover, each once."""
+    total, end = 0, 0
+    for p, _, n in sorted(stretches):
+        total += max(0, p + n - max(p, end))
+        end = max(end, p + n)
+    return total
+
+
+def _candidates(docs: DataFrame, terms: DataFrame, n: int, doc_id: str, doc_text: str) -> DataFrame:
+    """(doc_id, passage_id) of the pairs that may reach the share, for a block of the passages' terms."""
+    log2 = int(np.clip(np.ceil(np.log2(max(1, n) * _BITS_PER_TERM)), _LEAST_BITS, _MOST_BITS))
+    bitmap = _presence_filter(terms, log2)
+    postings = cut(_corpus_postings(docs, doc_id, doc_text, bitmap, log2))
+    frequencies = postings.groupBy("h").agg(F.count("*").alias("df"))
+    p = _rare_terms(terms, frequencies).select("h", "passage_id", F.col("pos").alias("p_pos"), "prev", "next", "n", "spared")
+    keys = ["h"]
+    # a term of very many documents is met in parts of them; there is at most one such term for so many postings
+    hot = cut(frequencies.filter(F.col("df") > _HOT).select("h", F.ceil(F.col("df") / _HOT).cast("int").alias("parts")))
+    if not hot.isEmpty():
+        keys = ["h", "part"]
+        parts = F.coalesce("parts", F.lit(1))
+        p = p.join(F.broadcast(hot), "h", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+        postings = postings.join(F.broadcast(hot), "h", "left").withColumn("part", F.pmod(F.xxhash64("doc_id"), parts).cast("int")).drop("parts")
+    hits = postings.join(p, keys).select("doc_id", "passage_id", (F.col("pos") - F.col("p_pos")).alias("offset"), "p_pos", "prev", "next", "n", "spared")
+    line = Window.partitionBy("doc_id", "passage_id", "offset").orderBy("p_pos")
+    # a stretch begins and ends no more than _WINDOW - 1 letters beyond the postings that its own windows choose; what
+    # lies beyond those was chosen by windows that reach out of the stretch and need not be chosen in the document. A
+    # posting that follows its neighbour moves the end, one on its own begins a run
+    end = lambda c: F.least(F.col("n"), F.col(c) + GRAM + _WINDOW - 1)
+    adds = F.when(F.lag("p_pos").over(line) == F.col("prev"), end("p_pos") - end("prev")).otherwise(end("p_pos") - F.greatest(F.lit(0), F.col("p_pos") - (_WINDOW - 1)))
+    reached = hits.withColumn("adds", adds).groupBy("doc_id", "passage_id").agg(F.sum("adds").alias("most"), F.first("n").alias("n"), F.first("spared").alias("spared"))
+    return reached.filter(F.col("most") + F.col("spared") >= SHARE * F.col("n") - 1e-9).select("doc_id", "passage_id")
+
+
+def leaks(docs: DataFrame, passages: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", passage_id: str = "passage_id", passage_text: str = "text", most_bits: int = _MOST_BITS) -> DataFrame:
+    """(doc_id, passage_id, share, stretches): every document that holds at least SHARE of a passage's letters and digits in
+    stretches of STRETCH or more, with the stretches: their positions, in letters and digits, in passage and document and
+    their length.
 
     Spacing, punctuation, case, digit script and invisible characters do not count. Passages with fewer than STRETCH
     letters leak nowhere; null and empty texts hold nothing; copies of a document or a passage are reported each.
@@ -174,7 +216,7 @@ def leaks(docs: DataFrame, passages: DataFrame, doc_id: str = "doc_id", doc_text
     A positional inverted index, distributed by term. A term is a run of GRAM letters that is the least, by hash, of
     some window of runs: any shared stretch of STRETCH letters has at least one common term. Corpus postings are kept
     only where a fixed-size presence filter of the passages' terms lets them pass, so what is shuffled follows the
-    matches, not the corpus. Per passage the terms are taken from the rarest on; the most frequent ones (stock
+    matches, not the corpus; passages of more terms than the filter serves are taken in blocks. Per passage the terms are taken from the rarest on; the most frequent ones (stock
     sentences) are left out as long as they can cover only a small share of it, which is then allowed for, so nothing
     is lost. Lists are joined by term and aligned by offset; where aligned postings could not cover the share even if
     every run of them reached a window further at both ends, the pair is dropped. Proximity is the sum over offsets. The few pairs
@@ -183,21 +225,12 @@ def leaks(docs: DataFrame, passages: DataFrame, doc_id: str = "doc_id", doc_text
     spark = docs.sparkSession
     terms = cut(_passage_terms(passages, passage_id, passage_text))
     n = terms.count()
-    log2 = int(np.clip(np.ceil(np.log2(max(1, n) * _BITS_PER_TERM)), _LEAST_BITS, _MOST_BITS))
-    bitmap = _presence_filter(terms, log2)
-    postings = cut(_corpus_postings(docs, doc_id, doc_text, bitmap, log2))
-    frequencies = postings.groupBy("h").agg(F.count("*").alias("df"))
-    rare = _rare_terms(terms, frequencies)
-    p = rare.select("h", "passage_id", F.col("pos").alias("p_pos"), "prev", "next", "n", "spared")
-    hits = postings.join(p, "h").select("doc_id", "passage_id", (F.col("pos") - F.col("p_pos")).alias("offset"), "p_pos", "prev", "next", "n", "spared")
-    line = Window.partitionBy("doc_id", "passage_id", "offset").orderBy("p_pos")
-    # a stretch begins and ends no more than _WINDOW - 1 letters beyond the postings that its own windows choose; what
-    # lies beyond those was chosen by windows that reach out of the stretch and need not be chosen in the document. A
-    # posting that follows its neighbour moves the end, one on its own begins a run
-    end = lambda c: F.least(F.col("n"), F.col(c) + GRAM + _WINDOW - 1)
-    adds = F.when(F.lag("p_pos").over(line) == F.col("prev"), end("p_pos") - end("prev")).otherwise(end("p_pos") - F.greatest(F.lit(0), F.col("p_pos") - (_WINDOW - 1)))
-    reached = hits.withColumn("adds", adds).groupBy("doc_id", "passage_id").agg(F.sum("adds").alias("most"), F.first("n").alias("n"), F.first("spared").alias("spared"))
-    pairs = reached.filter(F.col("most") + F.col("spared") >= SHARE * F.col("n") - 1e-9).select("doc_id", "passage_id")
+    blocks = max(1, -(-n * _BITS_PER_TERM >> most_bits))
+    pairs = None
+    for i in range(blocks):
+        own = terms if blocks == 1 else terms.filter(F.pmod(F.xxhash64("passage_id"), F.lit(blocks)) == i)
+        part = cut(_candidates(docs, own, -(-n // blocks), doc_id, doc_text))
+        pairs = part if pairs is None else pairs.unionByName(part)
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -206,18 +239,18 @@ def leaks(docs: DataFrame, passages: DataFrame, doc_id: str = "doc_id", doc_text
                 if d != last:
                     last, doc = d, kept(dt)
                 own = kept(pt)
-                c = _covered(doc, own)
-                if c >= SHARE * len(own):
-                    out.append((d, q, c / len(own)))
+                found = _stretches(doc, own)
+                c = _covered(found)
+                if c and c >= SHARE * len(own):
+                    out.append((d, q, c / len(own), [{"p_pos": p, "d_pos": x, "n": m} for p, x, m in found]))
             if out:
-                yield pd.DataFrame(out, columns=["doc_id", "passage_id", "share"])
+                yield pd.DataFrame(out, columns=["doc_id", "passage_id", "share", "stretches"])
 
-    pairs = cut(pairs)
     # the candidates are few: their texts are fetched by a semi-join on the ids, never by moving the corpus
     wanted = _id_filter(spark, pairs, "doc_id")
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(doc_text).alias("doc_text")).filter(F.col("doc_text").isNotNull()).filter(wanted)
     q = passages.select(F.col(passage_id).cast("long").alias("passage_id"), F.col(passage_text).alias("passage_text")).filter(F.col("passage_text").isNotNull())
-    return pairs.join(q, "passage_id").join(d, "doc_id").mapInPandas(verify, "doc_id long, passage_id long, share double").distinct()
+    return pairs.join(q, "passage_id").join(d, "doc_id").mapInPandas(verify, "doc_id long, passage_id long, share double, stretches array<struct<p_pos:int,d_pos:int,n:int>>").distinct()
 
 
 def _id_filter(spark, pairs: DataFrame, column: str):

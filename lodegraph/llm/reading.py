@@ -119,7 +119,9 @@ def familiar_words(docs: DataFrame) -> dict[int, np.ndarray]:
 
 
 def _features(text: str, thai: bool, shares: dict[int, np.ndarray], latin: _Latin) -> np.ndarray:
-    """Shares of words outside the list at every cut, then lengths of sentences and words, then mean rarity."""
+    """Shares of words outside the list at every cut; the mean sentence length and its logarithm, the median, the ninetieth
+    percentile and the mean logarithm of the lengths; the mean length of words (for Thai, of runs between blanks); the mean
+    rarity of words. A Thai sentence is a run between blanks, as Thai ends sentences with a blank."""
     if thai:
         buckets = _thai_words(text)
         lengths = np.array([len(x) for x in _SPACE.split(text) if x], dtype=float)
@@ -180,9 +182,10 @@ class Formula:
 
     @classmethod
     def unfitted(cls) -> Formula:
-        """Without labels: a level more for every fifth of the words outside the list at the cut of a tenth."""
+        """Without labels, the plain familiar-word formula: a level more for every fifth of the words outside the list at the
+        cut of a tenth, and half a level for every doubling or so of the mean sentence length from sixty letters."""
         w = np.zeros(1 + 2 * _N)
-        w[0], w[1 + CUTS.index(0.1)] = 0.5 + LEVELS[0], float(LEVELS[1])
+        w[0], w[1 + CUTS.index(0.1)], w[1 + len(CUTS) + 1] = 0.5 + LEVELS[0] - 0.7 * np.log(61), float(LEVELS[1]), 0.7
         return cls(np.zeros(_N), np.ones(_N), w)
 
     def column(self, x: Column) -> Column:
@@ -197,9 +200,10 @@ class Formula:
 def reading_levels(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label_id: str = "doc_id", level: str = "reading_level") -> DataFrame:
     """(doc_id, reading_level): a level from 1 to 5 for every document with at least 200 characters.
 
-    The familiar-word formula: the share of words outside a high-frequency list and the mean sentence length, the list
-    being taken at several cuts of the document frequencies counted over the whole corpus. Its weights, one set per
-    script, are fitted to the raters' levels (their mean per document) on at most MOST_LABELLED labelled documents,
+    The familiar-word formula, widened: the share of words outside a high-frequency list, the list being taken at twelve
+    cuts of the document frequencies counted over the whole corpus, and the mean sentence length; beside them the mean
+    rarity of words, their length and four other measures of sentence length, and the squares of all (see _features; the
+    README has the figures with and without). The weights, one set per script, are fitted to the raters' levels (their mean per document) on at most MOST_LABELLED labelled documents,
     chosen by hash; the fit is the only part that sees a sample. A script without enough labels gets the formula
     unfitted. Documents with null or shorter text have no row; equal rows are scored each.
 

@@ -94,3 +94,37 @@ def test_documents_together_equal_documents_alone():
 
 def test_kept():
     assert text(kept("Ａ b-c ๑٢3​ é!")) == "ａbc123é"
+
+
+def test_stretches_blocks_and_hot_terms(spark, monkeypatch):
+    """Positions are those of the shared letters; blocks of passages and parts of hot terms change nothing."""
+    import random
+
+    from lodegraph.llm import leakage
+
+    r = random.Random(11)
+    word = lambda n: "".join(r.choice("abcdefghij") for _ in range(n))
+    stock, passages = word(70), []
+    for i in range(12):
+        passages.append((i, word(60) + stock + word(70)))
+    docs = [(100 + i, word(200) + passages[i % 12][1][: 60 + 70 + i % 3] + word(50)) for i in range(60)] + [(200 + i, word(30) + stock) for i in range(60)]
+    d, p = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(passages, "passage_id long, text string")
+    got = sorted((x["doc_id"], x["passage_id"], round(x["share"], 6), [tuple(s) for s in x["stretches"]]) for x in leakage.leaks(d, p).collect())
+    texts, own = dict(docs), dict(passages)
+    assert len(got) >= 60
+    for doc, q, share, stretches in got:
+        assert sum(n for _, _, n in stretches) == round(share * len(own[q]))
+        assert all(texts[doc][b : b + n] == own[q][a : a + n] for a, b, n in stretches)
+    monkeypatch.setattr(leakage, "_HOT", 5)
+    again = sorted((x["doc_id"], x["passage_id"], round(x["share"], 6), [tuple(s) for s in x["stretches"]]) for x in leakage.leaks(d, p, most_bits=10).collect())
+    assert again == got
+
+
+def test_invisible_letters_do_not_hide_a_leak(spark):
+    from lodegraph.llm.invisible import INVISIBLE
+    from lodegraph.llm.leakage import leaks
+
+    text = "every one of these words stands in the passage and in the document as it is written here and nowhere else"
+    docs = spark.createDataFrame([(cp, "x ".join(["", chr(cp).join(text[i : i + 9] for i in range(0, len(text), 9))])) for cp in sorted(INVISIBLE)[:40]], "doc_id long, text string")
+    got = {r["doc_id"] for r in leaks(docs, spark.createDataFrame([(1, text)], "passage_id long, text string")).collect()}
+    assert got == set(sorted(INVISIBLE)[:40])

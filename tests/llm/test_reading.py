@@ -1,7 +1,6 @@
 import random
 
 import numpy as np
-import pytest
 
 from lodegraph.llm import reading
 from lodegraph.llm.reading import document_frequencies, is_thai, level_profile, reading_levels
@@ -19,12 +18,10 @@ def test_accuracy_against_agreeing_raters(spark):
         by.setdefault(r["doc_id"], []).append(r["reading_level"])
     sure = [(got[d], v[0]) for d, v in by.items() if d in got and len(v) > 1 and len(set(v)) == 1]
     assert len(sure) >= 100
-    assert np.mean([abs(a - b) <= 1 for a, b in sure]) >= 0.99
-    exact = np.mean([a == b for a, b in sure])
-    if exact < 0.9:  # known shortfall with the few labels of this size, stated in the README
-        pytest.xfail(f"exact agreement {exact:.3f}, aimed at 0.9")
     assert set(got) == {r["doc_id"] for r in docs.filter("length(text) >= 200").select("doc_id").collect()}
     assert set(got.values()) <= {1, 2, 3, 4, 5}
+    assert np.mean([abs(a - b) <= 1 for a, b in sure]) >= 0.99
+    assert np.mean([a == b for a, b in sure]) >= 0.88
 
 
 def test_frequencies_equal_counting(spark):
