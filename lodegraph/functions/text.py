@@ -140,9 +140,10 @@ def grade_digit(c: str | Column) -> Column:
 
 def bare_name(c: str | Column, prefixes: tuple[str, ...], suffixes: tuple[str, ...] = ()) -> Column:
     """A name in lower case without the prefixes, taken off once each in order, and the suffixes; NULL where missing."""
+    # each step names its argument once, so the expression stays as long as the lists
     x = F.lower(clean(c))
     for p in prefixes:
-        x = F.when(F.startswith(x, F.lit(p)), F.trim(F.substr(x, F.lit(len(p) + 1)))).otherwise(x)
+        x = F.regexp_replace(x, rf"^\Q{p}\E\s*", "")
     for p in suffixes:
-        x = F.when(F.endswith(x, F.lit(p)), F.trim(F.left(x, F.length(x) - len(p)))).otherwise(x)
+        x = F.regexp_replace(x, rf"\s*\Q{p}\E$", "")
     return x

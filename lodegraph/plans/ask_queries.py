@@ -86,7 +86,7 @@ _DOMAIN_NODES = f"""{_PLACES_SQL}, {_T}, dn AS (SELECT 'Place:' || k AS node_id,
  UNION ALL SELECT DISTINCT 'Organisation:' || issuer, 'Organisation', issuer FROM rg WHERE issuer IS NOT NULL AND issuer NOT IN (SELECT name FROM og))"""
 _PREFIXED = " ".join(f"WHEN label = '{k}' THEN list_transform([{', '.join(repr(x) for x in v)}], lambda x: x || name)" for k, v in L.REQUIRED_PREFIX.items())
 _LINKED = f"""{_DOMAIN_NODES},
-q AS (SELECT row_id::VARCHAR AS question_id, trim(regexp_replace(question, '[\s.,!?;:()\[\]"''`‘’“”]+', ' ', 'g')) AS question FROM thai_eval WHERE question IS NOT NULL),
+q AS (SELECT row_id::VARCHAR AS question_id, trim(regexp_replace(question, '[\\s.,!?;:()\\[\\]"''`‘’“”]+', ' ', 'g')) AS question FROM thai_eval WHERE question IS NOT NULL),
 gn AS (SELECT label, lower(name) AS low, min(node_id) AS node_id, min_by(name, node_id) AS name FROM dn WHERE name IS NOT NULL GROUP BY 1, 2),
 gt AS (SELECT node_id, label, name, unnest(CASE {_PREFIXED} WHEN length(regexp_replace(name, '[ัิ-ฺ็-๎]', '', 'g')) < {L.SHORT_NAME} THEN list_transform([{', '.join(repr(x) for x in L.SHORT_PREFIX)}], lambda x: x || name) ELSE [name] END) AS term
  FROM gn WHERE length(name) >= 2 AND name NOT IN {_in(L.STOPWORDS)} AND trim(low) NOT IN {_in(L.GENERIC_NAMES)}),
@@ -104,7 +104,7 @@ sb AS (SELECT question_id, low, max(n) AS n FROM qu JOIN sr USING (run) WHERE tr
 sim AS (SELECT * FROM (SELECT question_id, node_id, label, name, round(2.0::DOUBLE * n / (n + length(low)), 4) AS score, row_number() OVER (PARTITION BY question_id ORDER BY round(2.0::DOUBLE * n / (n + length(low)), 4) DESC, length(low), node_id) AS i FROM sb JOIN sn USING (low)) WHERE i <= 5),
 h AS (SELECT question_id, node_id, label, name, 1.0::DOUBLE AS score, 'name' AS matched_by FROM ex UNION ALL SELECT question_id, node_id, label, name, score, 'similar' FROM sim),
 rest AS (SELECT * FROM q WHERE question_id NOT IN (SELECT question_id FROM h)),
-cs AS (SELECT question_id, trim(w) AS x, 0 AS p, 0 AS l, i FROM (SELECT question_id, unnest(regexp_split_to_array(question, '\s+')) AS w, generate_subscripts(regexp_split_to_array(question, '\s+'), 1) AS i FROM rest) WHERE length(w) >= 3
+cs AS (SELECT question_id, trim(w) AS x, 0 AS p, 0 AS l, i FROM (SELECT question_id, unnest(regexp_split_to_array(question, '\\s+')) AS w, generate_subscripts(regexp_split_to_array(question, '\\s+'), 1) AS i FROM rest) WHERE length(w) >= 3
  UNION ALL SELECT question_id, trim(substring(question, i::INTEGER, n::INTEGER)), 1, -length(trim(substring(question, i::INTEGER, n::INTEGER))), (12 - n) * 100000 + i FROM (SELECT question_id, question, n, unnest(range(1, length(question) - n + 2)) AS i FROM rest, (SELECT unnest(range(3, 13)) AS n) WHERE n <= length(question))),
 sp AS (SELECT DISTINCT question_id, lower(x) AS span FROM (SELECT question_id, x, row_number() OVER (PARTITION BY question_id ORDER BY min(struct_pack(p, l, i))) AS r FROM cs WHERE x <> '' AND x NOT IN {_in(L.STOPWORDS)} GROUP BY 1, 2) WHERE r <= {L.MOST_SPANS}),
 hs AS (SELECT * FROM (SELECT span, node_id, label, name, low, row_number() OVER (PARTITION BY span ORDER BY length(low), node_id) AS r FROM (SELECT DISTINCT span FROM sp) JOIN nn ON contains(low, span)) WHERE r <= {L.MOST_OF_SPAN}),
