@@ -35,6 +35,13 @@ class Graph:
     options: dict = field(default_factory=dict)
 
 
+def held(graph: Graph) -> Graph:
+    """The graph with its nodes and edges written once: a retriever reads them many times."""
+    if graph.options.get("held"):
+        return graph
+    return Graph(cut(graph.nodes), cut(graph.edges), graph.rulings, graph.options | {"held": True})
+
+
 Retriever = Callable[[DataFrame, Graph], DataFrame]
 _REGISTRY: dict[str, Retriever] = {}
 _ALIASES: dict[str, str] = {}
@@ -161,6 +168,7 @@ def second_step(found: DataFrame, groups: DataFrame, leaves: tuple[str, ...]) ->
 def graph_retriever(questions: DataFrame, graph: Graph, most_facts: int = MOST_FACTS) -> DataFrame:
     """Cards and aggregated neighbourhoods of the linked nodes, the neighbourhoods of the attribute nodes a step further, and
     the least paths that connect linked nodes; at most ``most_facts`` lines."""
+    graph = held(graph)
     found = cut(seeds(questions, graph.nodes))
     near = cut(_groups(G.neighbourhood(graph.nodes, graph.edges, found)))
     further = cut(second_step(found, near, graph.options.get("leaves", ("Place", "Product"))))
@@ -200,7 +208,8 @@ def in_force(timeline: DataFrame, years: DataFrame) -> DataFrame:
 def temporal_retriever(questions: DataFrame, graph: Graph, most_facts: int = MOST_FACTS) -> DataFrame:
     """For questions with a year, stated or mentioned: cards, the aggregated neighbourhoods at that year, what had run out by
     then, and the regulations in force. Questions without a year go to the graph retriever."""
-    asked = questions.withColumn("year", F.coalesce("as_of", as_of_year(F.col("question"))))
+    graph = held(graph)
+    asked = cut(questions.withColumn("year", F.coalesce("as_of", as_of_year(F.col("question")))))
     dated, undated = asked.filter("year IS NOT NULL"), asked.filter("year IS NULL")
     found = cut(seeds(dated, graph.nodes).join(dated.select("question_id", "year").distinct(), "question_id"))
     near = _groups(G.neighbourhood(graph.nodes, graph.edges, found, at="year"), "year")

@@ -10,6 +10,7 @@ from lodegraph.operators import evaluation as E
 from lodegraph.operators.build import timeline_graph
 from lodegraph.operators.intervals import buddhist_year
 from lodegraph.operators.packed import packed_values
+from lodegraph.operators.retrieval import held
 from lodegraph.operators.rulings import clean_rulings
 from lodegraph.plans.ask_queries import domain_graph
 from lodegraph.plans.build_queries import _T
