@@ -74,7 +74,7 @@ def broken_lines(spark: SparkSession, path: str) -> DataFrame:
     items is curated and small, and is numbered in one task."""
     if not exists(spark, path):
         return spark.createDataFrame([], "file string, line_no long, line string")
-    whole = spark.read.option("wholetext", True).text(path).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.posexplode(F.split("value", "\n")).alias("i", "line"))
+    whole = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.posexplode(F.split("value", "\n")).alias("i", "line"))
     parsed = F.from_json("line", "map<string,string>", {"mode": "PERMISSIVE"})
     return whole.filter((F.trim("line") != "") & parsed.isNull()).select("file", (F.col("i") + 1).cast("long").alias("line_no"), "line")
 

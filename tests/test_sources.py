@@ -1,5 +1,7 @@
+import hashlib
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from lodegraph.sources import readers, writers
@@ -54,4 +56,44 @@ def test_quarantine_and_sql(spark, tmp_path):
 def test_vector_rows(spark):
     n = spark.createDataFrame([("P:1", "P", "1", "n", "t")], "node_id string, label string, key string, name string, text string")
     v = spark.createDataFrame([("P:1", [1.0])], "node_id string, vector array<double>")
-    assert writers.vector_rows(n, v).first()["id"] == "29e79c1c2e1a8ab5b4e3a2ea6fbd0b48" or len(writers.vector_rows(n, v).first()["id"]) == 32
+    assert writers.vector_rows(n, v).first()["id"] == hashlib.md5(b"P:1").hexdigest()
+
+
+def test_file_order_decides_the_first_row(spark, tmp_path):
+    """Files by name, not by size, whatever the scan packs together."""
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "b.csv").write_text("id,name\n1,from b\n")
+    (tmp_path / "d" / "a.csv").write_text("id,name\n" + "".join(f"{i},x{i}\n" for i in range(5, 50)) + "1,from a\n1,later\n")
+    got = {r["id"]: r["name"] for r in readers.load_rows(spark, str(tmp_path / "d"), ["id", "name"], "id").collect()}
+    assert got["1"] == "from a"
+
+
+def test_broken_lines_catalogue_and_paths(spark, tmp_path):
+    p = tmp_path / "core.jsonl"
+    p.write_text('{"id":"1","question":"q","hop_type":"single"}\n\n{"id":"2","que\n{"id":"3","question":"q","hop_type":"multi"}\n')
+    assert [tuple(r) for r in readers.broken_lines(spark, str(p)).collect()] == [("core.jsonl", 3, '{"id":"2","que')]
+    assert [tuple(r) for r in readers.catalogue(spark, str(p)).collect()] == [("core.jsonl", 2, 1, 1, 0)]
+    assert readers.resolve(spark, "core.jsonl", str(tmp_path)) == str(p) and readers.resolve(spark, str(p), "/x") == str(p) and readers.resolve(spark, "hdfs://h/x", "/x") == "hdfs://h/x"
+    assert readers.broken_lines(spark, str(tmp_path / "no.jsonl")).count() == 0
+
+
+def test_rulings_with_bad_columns_or_values(spark, tmp_path):
+    p = tmp_path / "r.csv"
+    p.write_text("ingredient_th,source_th,ruling\na,s,Halal\n")
+    assert readers.load_rulings(spark, str(p)).first()["aliases"] is None
+    p.write_text("ingredient_th,source_th\na,s\n")
+    with pytest.raises(ValueError, match="lacks ruling"):
+        readers.load_rulings(spark, str(p))
+    p.write_text("ingredient_th,source_th,ruling\na,s,maybe\n")
+    with pytest.raises(ValueError, match="maybe"):
+        readers.load_rulings(spark, str(p))
+
+
+def test_collection_is_made_once(spark):
+    spark.sql("DROP TABLE IF EXISTS vectors_test")
+    try:
+        assert writers.create_collection(spark, "vectors_test", 64) and not writers.create_collection(spark, "vectors_test", 64)
+        with pytest.raises(ValueError, match="size 64"):
+            writers.create_collection(spark, "vectors_test", 32)
+    finally:
+        spark.sql("DROP TABLE IF EXISTS vectors_test")
