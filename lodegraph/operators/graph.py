@@ -280,6 +280,15 @@ def search(nodes: DataFrame, edges: DataFrame, needle: str, label: str | None =
     return found.join(mine, "node_id", "left").select("node_id", "label", "name", F.coalesce("degree", F.lit(0)).alias("degree")).orderBy(F.desc("degree"), "node_id").limit(limit)
 
 
+def key_violations(df: DataFrame, *key: str) -> DataFrame:
+    """The keys that more than one row has, with their number: what a uniqueness constraint would refuse. Null keys are
+    none."""
+    held = df
+    for k in key:
+        held = held.filter(F.col(k).isNotNull())
+    return held.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1")
+
+
 def census(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count("*").alias("n"))
 

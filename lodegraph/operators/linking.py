@@ -38,6 +38,7 @@ LEAST_RUN = 4
 
 
 def ladder(longest: int) -> list[int]:
+    """The lengths of runs up to a name's."""
     out = list(range(LEAST_RUN, 13))
     while out[-1] < longest:
         out.append(out[-1] * 6 // 5)
@@ -92,7 +93,37 @@ def _without_names(questions: DataFrame, exact: DataFrame) -> DataFrame:
     return questions.join(names, "question_id", "left").select("question_id", left.alias("q"))
 
 
-def similar_hits(questions: DataFrame, nodes: DataFrame, limit: int = 5, least_score: float = LEAST_SCORE) -> DataFrame:
+def _named(nodes: DataFrame) -> DataFrame:
+    """The names that may be similar to a part of a question: none too general, too short or only valid after a prefix."""
+    weak = {*STOPWORDS, *WEAK_OVERLAPS, *GENERIC_NAMES}
+    return _one_per_name(nodes.filter(~F.col("label").isin(*REQUIRED_PREFIX))).filter(~F.trim("low").isin(*sorted(weak)) & (F.length("low") >= LEAST_RUN))
+
+
+def _runs(df: DataFrame, c: str) -> DataFrame:
+    """Every run of n letters as a hash with its length: what is shuffled and sorted is narrow."""
+    cut_up = df.withColumn("run", F.explode(F.regexp_extract_all(F.col(c), F.format_string("(?s)(?=(.{%d}))", "n"), F.lit(1)))).drop(c)
+    return cut_up.filter(~F.trim("run").isin(_WEAK_RUNS)).withColumn("h", F.xxhash64("run")).drop("run")
+
+
+def _sizes(names: DataFrame) -> list[int]:
+    return ladder(names.agg(F.max(F.length("low")).alias("n")).first()["n"] or 0)
+
+
+def run_index(nodes: DataFrame, limit: int = 5, least_score: float = LEAST_SCORE) -> DataFrame:
+    """The inverted index of names (h, n, node_id, m): of every run of n letters the ``limit`` shortest names, of m letters,
+    that hold it. It can be stored as a table and handed to similar_hits for as long as the nodes stay."""
+    names = _named(nodes)
+    return _run_index(names, _sizes(names), limit, least_score)
+
+
+def _run_index(names: DataFrame, sizes: list[int], limit: int, least_score: float) -> DataFrame:
+    # a run of n letters in a name of m scores 2n / (n + m)
+    sized = names.select("node_id", "low", F.length("low").alias("m"), F.explode(F.array(*map(F.lit, sizes)).cast("array<int>")).alias("n")).filter(F.col("n") <= F.col("m")).filter(F.round(dice(F.col("n"), F.col("m")), 4) >= least_score)
+    short = Window.partitionBy("h", "n").orderBy("m", "node_id")
+    return _runs(sized, "low").distinct().withColumn("i", F.row_number().over(short)).filter(F.col("i") <= limit).select("h", "n", "node_id", "m")
+
+
+def similar_hits(questions: DataFrame, nodes: DataFrame, limit: int = 5, least_score: float = LEAST_SCORE, index: DataFrame | None = None) -> DataFrame:
     """The ``limit`` best names per question by the Dice measure of the longest run of letters that they share with it, none
     below ``least_score``. ``questions`` has question_id and q, in lower case.
 
@@ -100,26 +131,12 @@ def similar_hits(questions: DataFrame, nodes: DataFrame, limit: int = 5, least_s
     A longer name that shares the run scores less than all of those, so none of the best is lost, and a run that a third of
     all names have is a short list. Runs too short to lift a name over ``least_score`` are not in the index.
     """
-    weak = {*STOPWORDS, *WEAK_OVERLAPS, *GENERIC_NAMES}
-    names = cut(_one_per_name(nodes.filter(~F.col("label").isin(*REQUIRED_PREFIX))).filter(~F.trim("low").isin(*sorted(weak)) & (F.length("low") >= LEAST_RUN)))
-    longest = names.agg(F.max(F.length("low")).alias("n")).first()["n"]
-    if longest is None:
-        return questions.select("question_id", *(F.lit(None).cast("string").alias(c) for c in ("node_id", "label", "name")), F.lit(0.0).alias("score"), F.lit("similar").alias("matched_by")).limit(0)
-    sizes = ladder(longest)
-    size = F.explode(F.array(*map(F.lit, sizes))).alias("n")
-
-    def runs(df: DataFrame, c: str) -> DataFrame:
-        """Every run of n letters as a hash with its length: what is shuffled and sorted is narrow."""
-        cut_up = df.withColumn("run", F.explode(F.regexp_extract_all(F.col(c), F.format_string("(?s)(?=(.{%d}))", "n"), F.lit(1)))).drop(c)
-        return cut_up.filter(~F.trim("run").isin(_WEAK_RUNS)).withColumn("h", F.xxhash64("run")).drop("run")
-
-    # a run of n letters in a name of m scores 2n / (n + m)
-    sized = names.select("node_id", "low", F.length("low").alias("m"), size).filter(F.col("n") <= F.col("m")).filter(F.round(dice(F.col("n"), F.col("m")), 4) >= least_score)
-    own = runs(sized, "low")
-    short = Window.partitionBy("h", "n").orderBy("m", "node_id")
-    index = own.distinct().withColumn("i", F.row_number().over(short)).filter(F.col("i") <= limit).drop("i")
-    asked = runs(questions.select("question_id", "q", size).filter(F.length("q") >= F.col("n")), "q")
-    longest_run = asked.join(index, ["h", "n"]).groupBy("question_id", "node_id").agg(F.max("n").alias("n"), F.first("m").alias("m"))
+    names = cut(_named(nodes))
+    # the lengths of runs are those of the ladder up to the longest name
+    sizes = _sizes(names) if index is None else sorted(r["n"] for r in index.select("n").distinct().collect())
+    index = _run_index(names, sizes, limit, least_score) if index is None else index
+    asked = questions.select("question_id", "q", F.explode(F.array(*map(F.lit, sizes)).cast("array<int>")).alias("n")).filter(F.length("q") >= F.col("n"))
+    longest_run = _runs(asked, "q").join(index, ["h", "n"]).groupBy("question_id", "node_id").agg(F.max("n").alias("n"), F.first("m").alias("m"))
     scored = longest_run.withColumn("score", F.round(dice(F.col("n"), F.col("m")), 4))
     w = Window.partitionBy("question_id").orderBy(F.desc("score"), "m", "node_id")
     best = scored.withColumn("i", F.row_number().over(w)).filter(F.col("i") <= limit).join(names, "node_id")

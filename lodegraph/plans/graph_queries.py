@@ -234,11 +234,16 @@ def graph_probe(spark: SparkSession, d: str) -> DataFrame:
     return trade_nodes(spark, d).limit(101).agg((F.count("*") > 100).alias("filled"))
 
 
+def key_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Keys that several places have."""
+    return G.key_violations(table(spark, d, "places").select(clean("key").alias("key")), "key")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         node_census, edge_census, neighbourhood_summary, neighbourhood_asof, hop2_expand, shortest_path, path_lines, subgraph_edges, search_by_degree, node_detail, shared_node_join, chain_join, region_customers, pair_join, two_edge_join,
-        edge_property_join, left_issuer, semi_join_codes, anti_join_done, self_join_supersedes, place_nodes, place_edges, attribute_node_census, province_hierarchy, upsert_latest, upsert_edges, annotate_relation, graph_probe,
+        edge_property_join, left_issuer, semi_join_codes, anti_join_done, self_join_supersedes, place_nodes, place_edges, attribute_node_census, province_hierarchy, upsert_latest, upsert_edges, annotate_relation, graph_probe, key_violations,
     )
 }
 
@@ -298,5 +303,6 @@ ORACLES = {
  FROM (SELECT * FROM o WHERE rn = 1) o FULL JOIN (SELECT * FROM n WHERE rn = 1) n ON o.key = n.key""",
     "upsert_edges": "SELECT l_suppkey AS src_id, count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY 1",
     "annotate_relation": f"WITH {_ORDERS_SQL} SELECT valid_from - 2 AS valid_from, coalesce(valid_to, 9999) AS valid_to, count(*) AS n FROM oe GROUP BY 1, 2",
+    "key_violations": f"SELECT {_CL.format('key')} AS key, count(*) AS n FROM places WHERE {_CL.format('key')} IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
     "graph_probe": f"WITH {NODES_SQL} SELECT count(*) > 100 AS filled FROM nodes",
 }

@@ -73,7 +73,12 @@ def test_similar_names_against_brute_force(spark):
     got = {}
     for x in L.similar_hits(_lower(q), nodes).collect():
         got.setdefault(x["question_id"], set()).add(x["node_id"])
-    assert got == {i: s for i, t in asked if (s := _brute_similar(t, names))}
+    want = {i: s for i, t in asked if (s := _brute_similar(t, names))}
+    assert got == want
+    stored = {}
+    for x in L.similar_hits(_lower(q), nodes, index=L.run_index(nodes)).collect():
+        stored.setdefault(x["question_id"], set()).add(x["node_id"])
+    assert stored == want
 
 
 def test_spans_in_order(spark):
