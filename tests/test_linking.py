@@ -40,6 +40,14 @@ def test_part_of_a_name_is_the_last_resort(spark):
     assert L.seeds(q.limit(0), nodes).count() == 0 and L.seeds(q, nodes.limit(0)).count() == 0
 
 
+def test_every_span_is_looked_for(spark):
+    """A part of a name that stands behind a dozen other words; of the names that hold it the first ones."""
+    nodes = spark.createDataFrame([("a", "Place", "Mooz International Restaurant"), ("b", "Place", "Harbour")] + [(f"n{i:02}", "Place", f"{'z' * (30 - i)}kjjk{'y' * i}{'w' * (i + 12)}") for i in range(30)], N)
+    q = spark.createDataFrame([("1", " ".join(f"q{i}q" for i in range(14)) + " mooz"), ("2", " ".join(f"q{i}q" for i in range(14)) + " kjjk")], Q)
+    got = sorted((r["question_id"], r["node_id"], r["matched_by"]) for r in L.seeds(q, nodes).collect())
+    assert got == [("1", "a", "contains"), *(("2", f"n{i:02}", "contains") for i in range(5))]
+
+
 def test_guards(spark):
     """Names that are ordinary words, short, general or only part of one need more than their letters."""
     nodes = spark.createDataFrame([("r", "Region", "กลาง"), ("d", "District", "เมือง"), ("s", "Province", "เลย"), ("g", "Category", "อาหาร"), ("w", "Place", "มัสยิด"), ("p", "Place", "มัสยิดกลางปัตตานี"), ("t", "Province", "ปัตตานี")], N)
