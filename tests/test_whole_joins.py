@@ -1,5 +1,7 @@
 """hop2_expand and pair_join over all suppliers and customers, against brute force on a small fixture."""
 
+from pyspark.sql import functions as F
+
 from lodegraph.plans import graph_queries as Q
 
 NATIONS = [(0, "N0", 0), (1, "N1", 0), (2, "N2", 1)]
@@ -29,3 +31,11 @@ def test_every_supplier_and_customer(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(want)
     pairs = sorted((s[1], c[1], s[2]) for s in SUPPLIERS for c in CUSTOMERS if s[2] == c[2])
     assert sorted(map(tuple, Q.pair_join(spark, d).collect())) == pairs
+
+
+def test_pairs_of_one_nation_are_made_in_several_tasks(spark, tmp_path):
+    spark.createDataFrame([(k, f"S{k}", 7) for k in range(20)], "s_suppkey long, s_name string, s_nationkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(k, f"C{k}", 7) for k in range(200)], "c_custkey long, c_name string, c_nationkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    pairs = Q.pair_join(spark, str(tmp_path))
+    assert pairs.distinct().count() == pairs.count() == 4000
+    assert pairs.select(F.spark_partition_id()).distinct().count() > 4
