@@ -34,6 +34,12 @@ def linkings(monkeypatch):
     return calls
 
 
+def test_temporal_links_once(spark, small, linkings):
+    got = {r["question_id"]: r["text"] for r in R.temporal_retriever(_questions(spark), small).collect()}
+    assert linkings == [3] and set(got) == {"1", "2"}
+    assert "ended in 2510, before 2520" in got["2"] and "(2 hop) Golden Temple -[IN]-> Northland -[IN]-> Riverside Gardens" in got["1"]
+
+
 def test_graph_retriever_leaves_no_paths_to_its_last_plan(spark, small):
     assert "posexplode" not in _plan(R.graph_retriever(_questions(spark), small))
 
