@@ -44,6 +44,12 @@ def test_graph_retriever_leaves_no_paths_to_its_last_plan(spark, small):
     assert "posexplode" not in _plan(R.graph_retriever(_questions(spark), small))
 
 
+def test_ingredient_retriever_reads_rulings_once(spark, small):
+    found = R.ingredient_retriever(_questions(spark), small)
+    assert "md5" not in _plan(found)
+    assert [r["text"].split("\n")[0] for r in found.collect()] == ["salt depends on the source; at worst haram"]
+
+
 @pytest.mark.parametrize("total,calls", [(375, 0), (376, 1)])
 def test_a_grown_heap_is_given_back(total, calls):
     done = []
