@@ -50,6 +50,10 @@ def test_ingredient_retriever_reads_rulings_once(spark, small):
     assert [r["text"].split("\n")[0] for r in found.collect()] == ["salt depends on the source; at worst haram"]
 
 
+def test_terms_are_found_before_the_last_plan_of_linking(spark, small):
+    assert "mapinarrow" not in _plan(L.contained_hits(_questions(spark), small.nodes))
+
+
 @pytest.mark.parametrize("total,calls", [(375, 0), (376, 1)])
 def test_a_grown_heap_is_given_back(total, calls):
     done = []
