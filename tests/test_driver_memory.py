@@ -34,6 +34,12 @@ def linkings(monkeypatch):
     return calls
 
 
+def test_scored_retrievers_link_once(spark, small, linkings):
+    items = _questions(spark).select(F.col("question_id").alias("id"), "question", F.lit("x").alias("answer"), F.array().cast("array<string>").alias("aliases"), F.array().cast("array<string>").alias("gold_nodes"), F.lit("single").alias("hop_type"), "as_of", F.lit(None).cast("string").alias("stale_answer"))
+    got = {(r["retriever"], r["id"]): r["n_seeds"] for r in E.score(items, small, ["graph", "temporal"]).collect()}
+    assert got == {(k, i): n for k in ("graph", "temporal") for i, n in (("1", 2), ("2", 1), ("3", 0))} and linkings == [3]
+
+
 def test_temporal_links_once(spark, small, linkings):
     got = {r["question_id"]: r["text"] for r in R.temporal_retriever(_questions(spark), small).collect()}
     assert linkings == [3] and set(got) == {"1", "2"}
