@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodegraph import session
+from lodegraph.functions import metrics as M
 from lodegraph.operators import evaluation as E
 from lodegraph.operators import linking as L
 from lodegraph.operators import retrieval as R
@@ -67,3 +68,32 @@ def test_a_grown_heap_is_given_back(total, calls):
     lang = SimpleNamespace(Runtime=SimpleNamespace(getRuntime=lambda: runtime), System=SimpleNamespace(gc=lambda: done.append(1)))
     session.release(SimpleNamespace(sparkContext=SimpleNamespace(_jvm=SimpleNamespace(java=SimpleNamespace(lang=lang)))))
     assert len(done) == calls
+
+
+def _physical(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_runs_and_spans_of_questions_are_not_broadcast(spark, small):
+    # of known size, as a file is
+    asked = L.cut(spark.sql("SELECT '1' AS question_id, 'golden temple and riverside gardens' AS question, 'golden temple and riverside gardens' AS q"))
+    assert "BroadcastHashJoin [h" not in _physical(L.similar_hits(asked, small.nodes))
+    assert "BroadcastHashJoin [span" not in _physical(L.contained_hits(asked, small.nodes))
+
+
+def test_metrics_normalise_a_text_once(spark, monkeypatch):
+    row = spark.createDataFrame([("a b", ["AB", None])], "p string, g array<string>")
+    calls, normalise = [], M.normalise_answer
+    monkeypatch.setattr(M, "normalise_answer", lambda c: calls.append(1) or normalise(c))
+    for metric in (M.best_f1, M.exact_match, M.containment, M.context_recall):
+        calls.clear()
+        assert row.select(metric(F.col("p"), F.col("g")).alias("x")).first()["x"] == 1.0
+        # the prediction or context, and an answer
+        assert len(calls) == 2
+
+
+def test_the_native_heap_is_given_back_after_each_cut(spark, monkeypatch):
+    calls, trim = [], session.trim
+    monkeypatch.setattr(session, "trim", lambda s: calls.append(trim(s)))
+    session.cut(spark.range(3))
+    assert len(calls) == 1
